@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_INVISIBLE = re.compile("[­​-‏ -‮⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060\ufeff]")
 _BLANK = re.compile(r"\s+")
 _UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "ø": "oe"})
-_WRONG = re.compile("[ÂÃ][\u0080-¿Œ-™]")
+_WRONG = re.compile("[\u00c2\u00c3][\u0080-\u00bf\u0152-\u2122]")
 _BYTE_OF = {bytes([b]).decode("cp1252", "ignore"): b for b in range(128, 256)} | {chr(b): b for b in range(256)}
 
 
