@@ -41,7 +41,7 @@ _OMISSION = re.compile(r"\s*(?:\[(?:mehr|more|…|\.\.\.)\]|(?:…|\.\.\.)\s*(?:
 _EXPLICIT = re.compile(r"(?:\[(?:mehr|more)\]|weiterlesen|mehr anzeigen|mehr lesen|read more|\((?:mehr|more)\))\s*$", re.I)
 _BROKEN = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d{0,5}|#x[0-9a-f]{0,5})|<(?:/?[a-z][a-z0-9]{0,9}(?:\s[^<>]{0,80})?)?|\\u?[0-9a-f]{0,3}|%[0-9A-F]?)$", re.I)
 _ENTITY = re.compile(r"&(?:a(?:mp?)?|n(?:b(?:sp?)?)?|l(?:t)?|g(?:t)?|q(?:u(?:ot?)?)?|[aou](?:u(?:ml?)?)?|s(?:z(?:l(?:ig?)?)?)?|e(?:u(?:ro?)?)?|#\d{0,5}|#x[0-9a-f]{0,5})$", re.I)
-_TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_+")
+_TOKEN = re.compile(r"\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b|\d+|[^\W\d_]+|[^\w\s]|_+")
 _END = re.compile(r"[.!?…:;)\]}“”»\"'。！？]$")
 _SENTENCE = re.compile(r"[.!?](?=\s+[A-ZÄÖÜ„\"])")
 
@@ -64,7 +64,7 @@ def open_at_end(text: str) -> list[tuple[str, int]]:
 def _shape(token: str) -> str:
     if token.isdigit():
         return "9" if len(token) < 16 else "LONG"
-    return token
+    return "HEX" if not token.isalpha() and token.isalnum() else token
 
 
 def features(text: str, known: frozenset[str] | None) -> list[str]:
