@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from stellwerk.llm.setsim import grams, similarity_join
 from stellwerk.llm.strings import distance, near, spell_out, strip_marks, tidy
+from stellwerk.session import cut
 
 # Words that may stand beside a town's name and do not name it.
 BESIDE = frozenset(
@@ -120,7 +121,7 @@ def map_cities(rows: DataFrame, ref: DataFrame, *, threshold: float = THRESHOLD)
         .agg(F.collect_list(F.struct("spelling", "city_id", "kind", "plz_prefix")).alias("entries"))
     )
     cases = rows.filter(F.length(F.regexp_replace("city", "(?U)[\\s\\p{Z}]", "")) > 0).join(ref.select(F.col("name").alias("city")), "city", "left_anti")
-    values = cases.select("city").distinct().withColumn("r", read("city")).select("city", "r.*")
+    values = cut(cases.select("city").distinct().withColumn("r", read("city")).select("city", "r.*"))
     cores = values.select("core", "short").distinct().withColumn("core_key", F.concat("core", F.when(F.col("short"), F.lit(".")).otherwise("")))
     pairs = similarity_join(
         cores.filter("core != ''").select("core_key", grams(F.col("core")).alias("tokens")),

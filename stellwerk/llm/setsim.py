@@ -45,11 +45,11 @@ def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
         b,
         (a["token"] == b["token"]) & (F.col("r_size") >= F.col("l_size") * threshold - 1e-9) & (F.col("l_size") >= F.col("r_size") * threshold - 1e-9) & (most >= least),
     )
+    # Sets are compared where they meet, so that only keys are shuffled to drop pairs that met more than once.
     shared = F.size(F.array_intersect("l_set", "r_set"))
     return (
-        pairs.groupBy("l_key", "r_key")
-        .agg(F.any_value("l_set").alias("l_set"), F.any_value("r_set").alias("r_set"))
-        .withColumn("jaccard", shared / (F.size("l_set") + F.size("r_set") - shared))
+        pairs.select("l_key", "r_key", (shared / (F.col("l_size") + F.col("r_size") - shared)).alias("jaccard"))
         .filter(F.col("jaccard") >= threshold - 1e-9)
+        .dropDuplicates(["l_key", "r_key"])
         .select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key), "jaccard")
     )
