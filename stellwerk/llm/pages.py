@@ -63,9 +63,12 @@ WALL = re.compile(
 )
 
 
+_HINT = re.compile(r"[{\[<«$%@#_]|&lt;|XXXX|undefined|null|None|NaN", re.I)
+
+
 def unfilled(text: str) -> bool:
     """Whether a text has an unfilled placeholder, other than one that an ad mentions as such."""
-    return any(not _MENTION.search(text[max(0, m.start() - 40) : m.start()]) for m in PLACEHOLDER.finditer(text))
+    return bool(_HINT.search(text)) and any(not _MENTION.search(text[max(0, m.start() - 40) : m.start()]) for m in PLACEHOLDER.finditer(text))
 
 
 def _strip(line: str) -> str:
@@ -173,9 +176,22 @@ def fit_pages(examples: list[tuple[str, str | None, str | None]], **options: obj
     return refit(45)
 
 
+def take_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those of the smallest hash of ``key``.
+
+    The rows are counted first, so that each task lets through only what has a chance to be among them: what is
+    gathered stays near ``limit`` however many tasks there are.
+    """
+    n = df.count()
+    mark = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if n > 2 * limit:
+        df = df.filter(mark < int((1 << 40) * min(1.0, 1.3 * limit / n)))
+    return df.orderBy(mark, key).limit(limit)
+
+
 def sample_pages(pages: DataFrame, bare: DataFrame, titles: DataFrame, *, key: str = "job_id", text: str = "description", limit: int = SAMPLE_PAGES) -> list[tuple[str, str | None, str | None]]:
     """At most ``limit`` pages, chosen by a hash of the id, with the longest bare text and the title of the posting."""
-    chosen = pages.filter(F.length(text) > 0).select(key, F.col(text).alias("page")).orderBy(F.xxhash64(key), key).limit(limit)
+    chosen = take_by_hash(pages.filter(F.length(text) > 0).select(key, F.col(text).alias("page")), key, limit)
     # The chosen ids are bounded by ``limit``, so sending them to all executors is, too.
     ids = F.broadcast(chosen.select(key))
     seen = bare.filter(F.length(text) > 0).join(ids, key, "left_semi").groupBy(key).agg(F.max_by(text, F.struct(F.length(text), F.col(text))).alias("bare"))
@@ -220,7 +236,7 @@ def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray,
     n = len(offsets) - 1
     best = scores.argmax(axis=1) if len(scores) else np.zeros(0, dtype=np.int64)
     flags = [False] * n
-    suspects = np.unique(owner[(best == RESIDUE) | (scores[:, RESIDUE] > scores[:, AD] - 4)]) if len(owner) else []
+    suspects = np.flatnonzero((best == RESIDUE) | (scores[:, RESIDUE] > scores[:, AD] - 4)).tolist() if len(owner) else []
     say = np.zeros(n, dtype=bool)
     filler = best == RESIDUE
     strong = filler & (scores[:, RESIDUE] - np.maximum(scores[:, AD], np.maximum(scores[:, PAGE], scores[:, NOTICE])) > 1)
@@ -231,10 +247,11 @@ def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray,
         flags[d] = True
     for d in np.flatnonzero((long_ad == 0) & ~np.array(flags, dtype=bool)).tolist() if n else []:
         flags[d] = _notice_in_parts(texts[d].as_py() or "", model)
-    for d in list(suspects):
-        text = texts[int(d)].as_py() or ""
-        if FILLER.search(text) or unfilled(text):
-            flags[d] = True
+    for k in suspects:
+        if not flags[owner[k]]:
+            line = buf[starts[u.rows[k]] : ends[u.rows[k]]].tobytes().decode("utf-8", "replace")
+            if FILLER.search(line) or unfilled(line):
+                flags[owner[k]] = True
     for d in np.flatnonzero(say).tolist():
         if not flags[d]:
             flags[d] = _mostly_unknown(texts[d].as_py() or "", model)

@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from stellwerk.llm.pages import take_by_hash
 
 #: Texts that the classifier of ends is fitted on, at most.
 SAMPLE_TEXTS = 6000
@@ -205,21 +208,29 @@ def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
 def baselines(texts: DataFrame) -> dict[tuple[str, str], Baseline]:
     """The baseline of each (origin, source), from counts over all texts; a handful of rows for each source."""
     by = ["origin", "source"]
-    sized = texts.filter(F.length("text") > 0).select(*by, F.length("text").alias("chars"), F.octet_length("text").alias("octets"), F.rlike("text", F.lit("[.!?…:;)\\]}“”»\"'。！？]\\s*$")).alias("closed"))
-    # Counted by source and length in one pass; sources are few, and lengths are at most what fields hold.
-    counts = sized.groupBy(*by, "chars", "octets").agg(F.count("*").alias("n"), F.count_if("closed").alias("n_closed"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.sum("n_closed").alias("total_closed"))
-    spans = counts.select(*by, F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size")))).alias("s"), "n")
-    limits = (
-        spans.groupBy(*by, "s.unit", "s.size")
-        .agg(F.sum("n").alias("n"))
-        .join(total, by)
-        .filter((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("total")))
+    closed = F.rlike(F.substring(F.rtrim("text"), -2, 2), F.lit("[.!?…:;)\\]}“”»\"'。！？]\\s?$"))
+    counts = (
+        texts.filter(F.length("text") > 0)
+        .groupBy(*by, F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
+        .agg(F.count("*").alias("n"), F.count_if(closed).alias("n_closed"))
+    )
+    # From here on there is a row per source and length, not per text.
+    whole, same_chars, same_octets = Window.partitionBy(*by), Window.partitionBy(*by, "chars"), Window.partitionBy(*by, "octets")
+    limit = lambda n: (n >= LIMIT_TEXTS) & (n >= LIMIT_SHARE * F.col("total"))
+    rows = (
+        counts.withColumn("total", F.sum("n").over(whole))
+        .withColumn("as_chars", F.sum("n").over(same_chars))
+        .withColumn("as_octets", F.sum("n").over(same_octets))
         .groupBy(*by)
-        .agg(F.collect_list(F.when(F.col("unit") == "chars", F.col("size"))).alias("chars"), F.collect_list(F.when(F.col("unit") == "octets", F.col("size"))).alias("octets"))
+        .agg(
+            F.sum("n").alias("total"),
+            F.sum("n_closed").alias("total_closed"),
+            F.collect_set(F.when(limit(F.col("as_chars")), F.col("chars"))).alias("chars"),
+            F.collect_set(F.when(limit(F.col("as_octets")), F.col("octets"))).alias("octets"),
+        )
     )
     out = {}
-    for r in total.join(limits, by, "left").collect():
+    for r in rows.collect():
         rate = (r["total"] - r["total_closed"] + 1) / (r["total"] + 2)
         out[r["origin"], r["source"]] = Baseline(frozenset(r["chars"] or ()), frozenset(r["octets"] or ()), max(-2.5, min(0.5, math.log(rate / (1 - rate)) / 2 + 0.8)))
     return out
@@ -227,7 +238,7 @@ def baselines(texts: DataFrame) -> dict[tuple[str, str], Baseline]:
 
 def sample_texts(texts: DataFrame, limit: int = SAMPLE_TEXTS) -> list[str]:
     """At most ``limit`` distinct texts, chosen by their hash."""
-    return [r[0] for r in texts.filter(F.length("text") > 40).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(limit).select("text").collect()]
+    return [r[0] for r in take_by_hash(texts.filter(F.length("text") > 40).select("text"), "text", limit).collect()]
 
 
 def find_cut(texts: DataFrame, ends: Ends, base: dict[tuple[str, str], Baseline]) -> DataFrame:
