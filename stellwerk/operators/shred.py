@@ -2,8 +2,9 @@
 
 :func:`shred` stores each payload as rows ``(doc_key, node, parent, label, ordinal, kind, scalar)``: one row per
 object, and one per scalar member. Arrays are transparent: their elements hang on the object that owns the array, with
-their position as ``ordinal``, so a single object counts as a list of one. :func:`entity` selects the object nodes of
-a label and joins them with their scalar children, pivoted into columns; parent-child links are the node numbers.
+their position as ``ordinal``, so a single object counts as a list of one. :func:`objects` joins object nodes with
+their scalar children, pivoted into columns; :func:`entity` selects the objects of a label. Parent-child links are the
+node numbers.
 
 Defined results:
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stellwerk.session import cut
+
 NODE_FIELDS = [("digest", "string"), ("node", "int"), ("parent", "int"), ("label", "string"), ("ordinal", "int"), ("kind", "string"), ("scalar", "string")]
 
 
@@ -112,38 +115,43 @@ def shred(df: DataFrame, ids: Sequence[str], payload: str, labels: Iterable[str]
     return source.mapInArrow(run, schema)
 
 
-def entity(adjacency: DataFrame, ids: Sequence[str], label: str, members: dict[str, str], *, prefix: str) -> DataFrame:
-    """The entity table of the object nodes called ``label``.
+def objects(adjacency: DataFrame, ids: Sequence[str], members: Iterable[str]) -> DataFrame:
+    """Every object node joined with its scalar children, which are pivoted into one column per member.
 
-    Columns: ids, digest, ``{prefix}_node``, ``{prefix}_parent``, ``{prefix}_no`` (position in its list) and one
-    column per scalar member (``members``: member name to column name; null where missing, the first element where
-    the member is a list).
+    Columns: ids, digest, ``node``, ``parent``, ``label``, ``ordinal``, and the members (null where missing, the first
+    element where a member is a list). The result is materialised: entity tables read it, not the payloads.
     """
-    keys = [*ids, "digest"]
-    objects = adjacency.filter((F.col("kind") == "object") & (F.col("label") == label)).select(
-        *keys, F.col("node").alias(f"{prefix}_node"), F.col("parent").alias(f"{prefix}_parent"), F.col("ordinal").alias(f"{prefix}_no")
+    is_object = F.col("kind") == "object"
+    owner = F.when(is_object, F.col("node")).otherwise(F.col("parent"))
+    return cut(
+        adjacency.groupBy(*ids, "digest", owner.alias("owner"))
+        .agg(
+            F.max(F.when(is_object, F.struct("node", "parent", "label", "ordinal"))).alias("o"),
+            *[F.min_by("scalar", F.when(~is_object & (F.col("label") == m), F.col("ordinal"))).alias(m) for m in members],
+        )
+        .filter("o IS NOT NULL")
+        .select(*ids, "digest", "o.*", *members)
     )
-    if not members:
-        return objects.dropDuplicates([*keys, f"{prefix}_node"])
-    scalars = (
-        adjacency.filter((F.col("kind") == "scalar") & F.col("label").isin(*members))
-        .groupBy(*keys, F.col("parent").alias(f"{prefix}_node"))
-        .agg(*[F.min_by("scalar", F.when(F.col("label") == member, F.col("ordinal"))).alias(column) for member, column in members.items()])
+
+
+def entity(table: DataFrame, ids: Sequence[str], label: str, members: dict[str, str], *, prefix: str) -> DataFrame:
+    """The entity table of the objects called ``label``: ids, digest, ``{prefix}_node``, ``{prefix}_parent``,
+    ``{prefix}_no`` (position in its list), and the members (name to column name)."""
+    return table.filter(F.col("label") == label).select(
+        *ids, "digest", F.col("node").alias(f"{prefix}_node"), F.col("parent").alias(f"{prefix}_parent"), F.col("ordinal").alias(f"{prefix}_no"), *[F.col(m).alias(c) for m, c in members.items()]
     )
-    return objects.dropDuplicates([*keys, f"{prefix}_node"]).join(scalars, [*keys, f"{prefix}_node"], "left")
 
 
 def search_pages(df: DataFrame, page_id: str = "page_id", payload: str = "payload") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, entries and places of recorded search pages, tied by ``page_id``, ``entry_node`` and ``place_node``."""
-    labels = ["ergebnisliste", "maxErgebnisse", "referenznummer", "stellenangebotsTitel", "firma", "externeURL", "stellenlokationen", "adresse", "ort", "plz", "region", "land", "breite", "laenge"]
-    adjacency = shred(df, [page_id], payload, labels)
+    members = ["maxErgebnisse", "referenznummer", "stellenangebotsTitel", "firma", "externeURL", "ort", "plz", "region", "land", "breite", "laenge"]
+    nodes = objects(shred(df, [page_id], payload, ["ergebnisliste", "stellenlokationen", "adresse", *members]), [page_id], members)
     keys = [page_id, "digest"]
-    pages = entity(adjacency, [page_id], "", {"maxErgebnisse": "max_ergebnisse"}, prefix="page")
-    entries = entity(adjacency, [page_id], "ergebnisliste", {"referenznummer": "referenznummer", "stellenangebotsTitel": "titel", "firma": "firma", "externeURL": "externe_url"}, prefix="entry")
-    places = entity(adjacency, [page_id], "stellenlokationen", {"breite": "breite", "laenge": "laenge"}, prefix="place")
-    addresses = entity(adjacency, [page_id], "adresse", {"ort": "ort", "plz": "plz", "region": "region", "land": "land"}, prefix="adresse").filter(F.col("adresse_no") == 0)
-    places = places.join(addresses.select(*keys, F.col("adresse_parent").alias("place_node"), "ort", "plz", "region", "land"), [*keys, "place_node"], "left")
-    return pages, entries, places
+    pages = entity(nodes, [page_id], "", {"maxErgebnisse": "max_ergebnisse"}, prefix="page").filter("page_node = 0")
+    entries = entity(nodes, [page_id], "ergebnisliste", {"referenznummer": "referenznummer", "stellenangebotsTitel": "titel", "firma": "firma", "externeURL": "externe_url"}, prefix="entry").filter("entry_parent = 0")
+    places = entity(nodes, [page_id], "stellenlokationen", {"breite": "breite", "laenge": "laenge"}, prefix="place")
+    addresses = entity(nodes, [page_id], "adresse", {m: m for m in ("ort", "plz", "region", "land")}, prefix="adresse").filter("adresse_no = 0")
+    return pages, entries, places.join(addresses.select(*keys, F.col("adresse_parent").alias("place_node"), "ort", "plz", "region", "land"), [*keys, "place_node"], "left")
 
 
 def places_of_entries(df: DataFrame, page_id: str = "page_id", payload: str = "payload") -> DataFrame:
@@ -151,13 +159,12 @@ def places_of_entries(df: DataFrame, page_id: str = "page_id", payload: str = "p
 
     Towns as recorded, postcodes padded to five digits (any other postcode counts as missing), '' where missing.
     """
-    adjacency = shred(df, [page_id], payload, ["ergebnisliste", "referenznummer", "stellenlokationen", "adresse", "ort", "plz"])
+    members = ["referenznummer", "ort", "plz"]
+    nodes = objects(shred(df, [page_id], payload, ["ergebnisliste", "stellenlokationen", "adresse", *members]), [page_id], members)
     keys = [page_id, "digest"]
-    entries = entity(adjacency, [page_id], "ergebnisliste", {"referenznummer": "referenznummer"}, prefix="entry").filter(
-        (F.col("entry_parent") == 0) & (F.length("referenznummer") > 0)
-    )
-    places = entity(adjacency, [page_id], "stellenlokationen", {}, prefix="place")
-    addresses = entity(adjacency, [page_id], "adresse", {"ort": "ort", "plz": "plz"}, prefix="adresse").filter(F.col("adresse_no") == 0)
+    entries = entity(nodes, [page_id], "ergebnisliste", {"referenznummer": "referenznummer"}, prefix="entry").filter((F.col("entry_parent") == 0) & (F.length("referenznummer") > 0))
+    places = entity(nodes, [page_id], "stellenlokationen", {}, prefix="place")
+    addresses = entity(nodes, [page_id], "adresse", {"ort": "ort", "plz": "plz"}, prefix="adresse").filter("adresse_no = 0")
     digits = F.regexp_extract(F.trim("plz"), r"^(?:[Dd][Ee]?[- ]?)?(\d{1,5})(?:\.0)?$", 1)
     return (
         addresses.select(*keys, F.col("adresse_parent").alias("place_node"), F.coalesce("ort", F.lit("")).alias("ort"), F.coalesce(F.when(digits != "", F.lpad(digits, 5, "0")), F.lit("")).alias("plz"))
