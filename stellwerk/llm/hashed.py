@@ -170,30 +170,32 @@ def fit(u: Units, labels: np.ndarray, n_classes: int, known: np.ndarray | None,
     """Softmax regression of the units' labels (per unit of ``u.rows``); classes weigh alike if ``balance``."""
     y = labels[u.rows]
     size = 1 << BITS
-    scale = 1 / np.sqrt(2 * u.count + 1)
-    tokens = np.repeat(np.arange(len(u.rows)), u.count)
-    row = np.concatenate([tokens, tokens, *[np.arange(len(u.rows))] * u.extra.shape[1]])
-    col = np.concatenate([u.uni, u.bi, *u.extra.T])
-    val = np.concatenate([scale[tokens], scale[tokens], np.full(len(u.rows) * u.extra.shape[1], 0.5)]).astype(np.float32)
-    order = np.argsort(row, kind="stable")
-    row, col, val = row[order], col[order], val[order]
-    bounds = np.searchsorted(row, np.arange(len(u.rows)))
+    scale = (1 / np.sqrt(2 * u.count + 1)).astype(np.float32)
+    of = np.repeat(np.arange(len(u.rows), dtype=np.int32), u.count)
     counts = np.bincount(y, minlength=n_classes)
     weight = (len(y) / (n_classes * np.maximum(counts, 1)))[y] ** 0.5 if balance else np.ones(len(y))
-    weight = weight / weight.sum()
-    target = np.zeros((len(y), n_classes), dtype=np.float32)
-    target[np.arange(len(y)), y] = 1
-    w, b = np.zeros((size, n_classes), dtype=np.float32), np.zeros(n_classes, dtype=np.float32)
-    g2 = np.full((size, n_classes), 1e-12, dtype=np.float32)
+    weight = (weight / weight.sum()).astype(np.float32)
+    # One class at a time: what is held at once is a few numbers per token.
+    w, g2 = np.zeros((n_classes, size), dtype=np.float32), np.full((n_classes, size), 1e-12, dtype=np.float32)
+    b = np.zeros(n_classes, dtype=np.float32)
+    z = np.empty((len(y), n_classes), dtype=np.float32)
     for _ in range(steps):
-        z = np.add.reduceat(w[col] * val[:, None], bounds, axis=0) + b
+        for c in range(n_classes):
+            z[:, c] = np.add.reduceat(w[c][u.uni] + w[c][u.bi], u.first) * scale + b[c]
+            for k in range(u.extra.shape[1]):
+                z[:, c] += 0.5 * w[c][u.extra[:, k]]
         z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        err = (p - target) * weight[:, None]
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(y)), y] -= 1
+        z *= weight[:, None]
         for c in range(n_classes):
-            g = np.bincount(col, weights=err[row, c] * val, minlength=size).astype(np.float32) + l2 * w[:, c]
-            g2[:, c] += g * g
-            w[:, c] -= rate * 0.25 * g / np.sqrt(g2[:, c])
-        b -= 2 * err.sum(axis=0)
-    return Model(w, b, known)
+            e = (z[:, c] * scale)[of]
+            g = np.bincount(u.uni, weights=e, minlength=size) + np.bincount(u.bi, weights=e, minlength=size)
+            for k in range(u.extra.shape[1]):
+                g += np.bincount(u.extra[:, k], weights=0.5 * z[:, c], minlength=size)
+            g = g.astype(np.float32) + l2 * w[c]
+            g2[c] += g * g
+            w[c] -= rate * 0.25 * g / np.sqrt(g2[c])
+        b -= 2 * z.sum(axis=0)
+    return Model(np.ascontiguousarray(w.T), b, known)

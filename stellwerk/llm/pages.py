@@ -33,7 +33,7 @@ from stellwerk.llm import hashed
 
 AD, PAGE, NOTICE, RESIDUE = range(4)
 #: Pages that the classifier is fitted on, at most.
-SAMPLE_PAGES = 8000
+SAMPLE_PAGES = 6000
 #: Price of a change between ad and page along a page's lines, in log-odds.
 CHANGE = 3.0
 
