@@ -18,8 +18,9 @@ def phone(raw: Column, country: str = "+49") -> Column:
     """
     first = F.element_at(F.split(raw, r"[;,]|\bor\b|\boder\b"), 1)
     kept = F.regexp_replace(F.regexp_replace(first, r"\(.*?\)", " "), r"[^\d+]", "")
-    full = F.when(F.startswith(kept, F.lit("+")), kept).when(F.startswith(kept, F.lit("00")), F.concat(F.lit("+"), F.substr(kept, F.lit(3)))).when(F.startswith(kept, F.lit("0")), F.concat(F.lit(country), F.substr(kept, F.lit(2))))
-    return F.when(F.rlike(full, F.lit(r"^\+\d{9,14}$")), full)
+    full = F.regexp_replace(F.regexp_replace(kept, "^00", "+"), "^0", country)
+    # A one-element array lets the expression stand once where its value is used twice.
+    return F.get(F.filter(F.array(full), lambda n: F.rlike(n, F.lit(r"^\+\d{9,14}$"))), F.lit(0))
 
 
 def _own(address: Column) -> Column:

@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-BOM = "﻿".encode()
+BOM = b"\xef\xbb\xbf"
 
 
 def _one_file(df: DataFrame, columns: Sequence[str], order: Sequence[str], folder: Path) -> Path:
