@@ -52,6 +52,8 @@ def read_value(text: str, states: frozenset[str]) -> tuple[str, str, bool]:
     words = _WORD.findall(s.lower())
     bare = [SAINT.get(w.rstrip("."), w.rstrip(".")) for w in words]
     kept = [w for w in bare if w not in LINKS]
+    if len(kept) > 60:
+        return "".join(kept), code, False
     named = [w for w in kept if not near(w, BESIDE, 4)]
     if len(named) > 1:
         trimmed = [w for w in named if not near(w, states, 4)]
@@ -120,7 +122,7 @@ def map_cities(rows: DataFrame, ref: DataFrame, *, threshold: float = THRESHOLD)
         .groupBy("spelling")
         .agg(F.collect_list(F.struct("spelling", "city_id", "kind", "plz_prefix")).alias("entries"))
     )
-    cases = rows.filter(F.length(F.regexp_replace("city", "(?U)[\\s\\p{Z}]", "")) > 0).join(ref.select(F.col("name").alias("city")), "city", "left_anti")
+    cases = rows.select("origin", "row_key", "city", "plz").filter(F.length(F.regexp_replace("city", "(?U)[\\s\\p{Z}]", "")) > 0).join(ref.select(F.col("name").alias("city")), "city", "left_anti")
     values = cut(cases.select("city").distinct().withColumn("r", read("city")).select("city", "r.*"))
     cores = values.select("core", "short").distinct().withColumn("core_key", F.concat("core", F.when(F.col("short"), F.lit(".")).otherwise("")))
     pairs = similarity_join(

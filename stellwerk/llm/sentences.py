@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,16 +25,16 @@ from pyspark.sql import types as T
 NEVER = """
 dr prof hr hrn fr frl mr mrs ms mme mlle dipl ing mag st skt nr no nos num tel fax ca circa z.b z. b d.h u.a i.d.r v.h i.h.v
 vgl ziff abs art gem geb inh zzgl inkl exkl mind max min evtl ggf bzw rechtl bspw sog gegr gez hrsg jmd jmdn jdn jmds co str
-s o.ä o.g u.ä z.t z.hd i.a i.v p.p dipl.-ing mo di mi do sa allg bes betr einschl entspr erf kfm lfd mtl stellv techn usf-
-cf vs est approx sec e.g i.e fig vol dept gen sgt capt rev jr- messrs
+s o.ä o.g u.ä z.t z.hd i.a i.v p.p dipl.-ing mo di mi do sa allg bes betr einschl entspr erf kfm lfd mtl stellv techn
+cf vs est approx sec e.g i.e fig vol dept gen sgt capt rev jr messrs
 env ex p.ex c.-à-d art al bd av boul mgr m n°
-ok np tj ul al godz- kat p pl os woj im ks inż
+ok np tj ul al godz kat p pl os woj im ks inż
 örn av yrd doç sok cad mah apt bkz
 ок напр тел ул д стр г-н г-жа см т.е пр пл им рис кв корп обл
 डॉ प्रो श्री
 """.split()
 # Abbreviations that end a sentence if a new one visibly starts.
-MAYBE = "usw usf etc u.v.m u.v.a o.ä- p.a a.m p.m ltd inc corp plc e.k e.v a.g g.b.r o.h.g k.g std stk mio mrd tsd jh r vb vs- itp itd godz г гг т.д т.п руб u.s u.k".replace("-", "").split()
+MAYBE = "usw usf etc u.v.m u.v.a p.a a.m p.m ltd inc corp plc e.k e.v a.g g.b.r o.h.g k.g std stk mio mrd tsd jh r vb itp itd г гг т.д т.п руб u.s u.k".split()
 # Months and nouns that ordinals stand before; words that ordinals stand after.
 ORDINAL_NOUNS = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez tag tage tages woche monat monats monate jahr jahres jahrhundert semester semesters generation stock stockwerk etage obergeschoss quartal klasse lehrjahr ausbildungsjahr schicht stufe platz mal lebensjahr halbjahr hälfte kapitel auflage bezirk advent".split()
@@ -50,7 +51,7 @@ BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _EVENT = re.compile(r"(?P<stop>[.!?…。！？।॥؟۔｡]+)|(?P<smile>[:;]-?[)D(]|[\U0001F300-\U0001FAFF\u263a\u2639]\ufe0f?)|(?P<thai>(?<=[\u0e01-\u0e5b])\s+(?=[\u0e01-\u0e5b]))")
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]")
 _LAST = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])[\w\u0300-\u036f\u0900-\u097f’°-]*(?:\.\s?[\w\u0300-\u036f-]+)*$")
-_NUMBER = re.compile(r"(?:^|(?P<lead>[^\W\d_]+\.?|[:,;(]|\S)\s*)(?P<n>\d+)$")
+_NUMBER = re.compile(r"(?:^|(?P<lead>[^\W\d_]+\.?|[:,;(：，；、（]|\S)\s*)(?P<n>\d+)$")
 _DATE = re.compile(r"(?<![\d.])\d{1,2}\.\d{1,2}$")
 
 
@@ -61,7 +62,7 @@ class _Trie:
         self.root: dict = {}
         for w in words:
             node = self.root
-            for c in reversed(w.rstrip("-")):
+            for c in reversed(w):
                 node = node.setdefault(c, {})
             node[""] = True
 
@@ -156,17 +157,21 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 def _outermost(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets that are in no other, as (opener, closer)."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter[str] = Counter()
     pairs: list[tuple[int, int]] = []
     for m in _MARKS.finditer(text, lo, hi):
         c, i = m[0], m.start()
-        depth = next((d for d in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[d][0]]), None)
+        depth = next((d for d in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[d][0]]), None) if awaited[c] else None
         if depth is not None:
             if c == ")" and i > lo and text[i - 1] in "-:;" and stack[depth][0] == "(" and text[i - 2 : i] in (":-", ";-"):
                 continue
             pairs.append((stack[depth][1], i))
+            for o, _ in stack[depth:]:
+                awaited.subtract(PAIRS[o])
             del stack[depth:]
         elif c in PAIRS:
             stack.append((c, i))
+            awaited.update(PAIRS[c])
     pairs.sort()
     out: list[tuple[int, int]] = []
     for p in pairs:
@@ -282,7 +287,7 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
     if before.isdigit():
         if not spaced and kind == "digit":
             return False
-        head = text[begin:dot]
+        head = text[max(begin, dot - 40) : dot]
         if _DATE.search(head):
             word = re.search(r"([^\W\d_]+)\s+\d{1,2}\.\d{1,2}$", head)
             return kind in ("upper", "digit") and not (word and word[1].lower() in BEFORE_ORDINAL)
@@ -290,7 +295,7 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
         if m is None or len(m["n"]) > 2 or (m["lead"] or "")[-1:] in "/-.+" and m["lead"]:
             return kind in ("upper", "nocase") or (spaced and kind == "digit")
         lead = unicodedata.normalize("NFC", (m["lead"] or "")).lower()
-        if not lead or lead in ":,;(":
+        if not lead or lead in ":,;(：，；、（":
             return False
         if kind == "lower":
             return False
@@ -305,7 +310,7 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
         # Without a blank only an ordinary word before and a word after make an end.
         if kind == "digit" or kind == "lower" or kind == "mark":
             return False
-        word = _LAST.search(text, begin, dot)
+        word = _LAST.search(text, max(begin, dot - 40), dot)
         tail = text[nxt + 1 : nxt + 2]
         if word and (len(word[0]) < 3 or "." in word[0] or word[0][:1].isupper() and len(word[0]) < 4):
             return False
@@ -317,7 +322,7 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
     if _NEVER.ends(lower, len(lower), 0):
         return False
     word = _LAST.search(text, max(begin, dot - 40), dot)
-    letters = unicodedata.normalize("NFC", word[0]) if word else ""
+    letters = unicodedata.normalize("NFC", word[0]).rpartition(".")[2].strip() if word else ""
     if letters.lower().endswith("str") and len(letters) > 3:
         return False
     if len(letters) == 1 and letters.isalpha() and not ("぀" <= letters <= "鿿"):

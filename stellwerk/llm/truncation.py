@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,13 +53,17 @@ _SENTENCE = re.compile(r"[.!?](?=\s+[A-ZÄÖÜ„\"])")
 def open_at_end(text: str) -> list[tuple[str, int]]:
     """Openers that are never closed, with their positions: what the stack holds when the text is over."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter[str] = Counter()
     for m in _MARKS.finditer(text):
         c = m[0]
         if c in PAIRS:
             stack.append((c, m.start()))
-        else:
+            awaited.update(PAIRS[c])
+        elif awaited[c]:
             for k in range(len(stack) - 1, -1, -1):
                 if c in PAIRS[stack[k][0]]:
+                    for o, _ in stack[k:]:
+                        awaited.subtract(PAIRS[o])
                     del stack[k:]
                     break
     return stack
@@ -126,7 +131,8 @@ def fit_ends(texts: list[str], *, cuts: int = 5, ends: int = 6, l2: float = 2e-5
     rows: list[list[str]] = []
     labels: list[int] = []
     for t in texts:
-        t = _OMISSION.sub("", t).rstrip()
+        t = t.rstrip()
+        t = t[:-80] + _OMISSION.sub("", t[-80:])
         if len(t) < 30:
             continue
         whole = [m.end() for m in re.finditer(r"[^\s](?=\s*[\n\r])", t)]
@@ -182,12 +188,13 @@ def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
         return True
     if (m := _BROKEN.search(bare)) and ("�" in m[0] or m[0][0] == "<" or (m[0][0] == "&" and _ENTITY.search(bare))):
         return True
-    m = _OMISSION.search(text)
+    m = _OMISSION.search(bare[-80:])
     if m and m[0].strip():
         near_limit = any(abs(len(bare) - n) <= NEARBY for n in base.chars)
-        body = text[: m.start()]
+        start = max(0, len(bare) - 80) + m.start()
+        body = text[:start]
         odds = ends.score(body)
-        spaced = text[m.start() : m.start() + 1].isspace()
+        spaced = text[start : start + 1].isspace()
         return near_limit or bool(stack and stack[-1][1] > bare.rfind("\n") and odds > -2) or odds > (3.0 if spaced else 1.0)
     line = max(bare.rfind("\n"), bare.rfind("\r"))
     left_open = [x for x in stack if x[1] > line and len(bare) - x[1] < 400]
