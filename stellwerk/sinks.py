@@ -19,7 +19,8 @@ BOM = b"\xef\xbb\xbf"
 
 def _one_file(df: DataFrame, columns: Sequence[str], order: Sequence[str], folder: Path) -> Path:
     rows = df.select(*columns).orderBy(*order) if order else df.select(*columns)
-    rows.coalesce(1).write.csv(str(folder / "part"), header=False, nullValue="", emptyValue="", quoteAll=False, escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss", timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    rows.coalesce(1).write.options(header=False, nullValue="", emptyValue="", escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv(str(folder / "part"))
     return next((folder / "part").glob("part-*.csv"), folder / "none")
 
 

@@ -1,8 +1,9 @@
 """A Python Data Source over recorded pages: one partition per source, so no site is ever asked in parallel.
 
 ``spark.read.format("recorded_pages").option("path", folder).load()`` reads files ``<source>/<query>-<page>.json`` (or
-``.html``); ``.option("sources", "BA,KA")`` or a filter on ``source`` that is pushed down names the sources. A network
-reader has the same shape: a partition per host, pages in order, a cursor to go on from.
+``.html``); ``.option("sources", "BA,KA")`` names the sources to read. (Filters are not pushed into the reader: Spark
+keeps one reader per relation, so a filter taken in for one query would hold for the next.) A network reader has the
+same shape: a partition per host, pages in order, a cursor to go on from.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class SourcePartition(InputPartition):
@@ -24,13 +25,6 @@ class RecordedReader(DataSourceReader):
         self.folder = options["path"]
         self.sources = [s for s in options.get("sources", "").split(",") if s] or None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("source",):
-                self.sources = [s for s in self.sources or [f.value] if s == f.value]
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         found = sorted(p.name for p in Path(self.folder).iterdir() if p.is_dir())
         return [SourcePartition(s) for s in found if self.sources is None or s in self.sources]
@@ -55,7 +49,6 @@ class RecordedPages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordedPages)
 
 
