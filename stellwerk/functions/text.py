@@ -62,8 +62,9 @@ def slug(text: Column) -> Column:
 def type_signals(*texts: Column) -> Column:
     """The employment types that texts tell, as an array in the order of the vocabulary."""
     said = casefold(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]))
-    found = [F.when(reduce(lambda a, b: a | b, [F.contains(said, F.lit(w)) for w in words]), F.lit(kind)) for kind, words in TYPE_WORDS.items()]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    found = lambda x: F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]), F.lit(kind)) for kind, words in TYPE_WORDS.items()])
+    # A one-element array binds the folded text, which else would be folded anew for each word.
+    return F.filter(F.flatten(F.transform(F.array(said), found)), lambda x: x.isNotNull())
 
 
 def reads_as_german(text: Column) -> Column:
