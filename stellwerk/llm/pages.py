@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stellwerk.llm import hashed
+from stellwerk.llm.render import rendered
 
 AD, PAGE, NOTICE, RESIDUE = range(4)
 #: Pages that the classifier is fitted on, at most.
@@ -317,3 +318,33 @@ def body_lines(pages: DataFrame, model: hashed.Model | None, *, of_ad: bool, key
 
     out = pages.filter(F.length(text) > 0).select(key, text)
     return out.select(key, F.lit(0).alias("line_no")).limit(0) if model is None else out.mapInArrow(run, schema)
+
+
+def bodies(pages: DataFrame, model: hashed.Model | None, *, key: str = "job_id", text: str = "description") -> DataFrame:
+    """(key, body): each page rendered, and of its lines only the ad's; pages of residue and empty ones are left out."""
+    schema = T.StructType([pages.schema[key], T.StructField("body", T.StringType())])
+    name = key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                owner, number, in_ad, _, flags = judge(part.column(1), model)
+                lines: dict[int, list[int]] = {}
+                for o, n in zip(owner[in_ad].tolist(), number[in_ad].tolist(), strict=True):
+                    lines.setdefault(o, []).append(n)
+                kept = [o for o in lines if not flags[o]]
+                out = []
+                for o in kept:
+                    split = part.column(1)[o].as_py().split("\n")
+                    # A blank line between two lines of the ad sets its paragraphs apart.
+                    got: list[str] = []
+                    for before, n in zip([None, *lines[o]], lines[o], strict=False):
+                        if before is not None and n > before + 1 and not split[n - 1].strip():
+                            got.append("")
+                        got.append(split[n].rstrip())
+                    out.append("\n".join(got))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.string())], names=[name, "body"])
+
+    shown = pages.filter(F.length(text) > 0).select(key, rendered(F.col(text)).alias(text))
+    return shown.select(key, F.lit("").alias("body")).limit(0) if model is None else shown.mapInArrow(run, schema)

@@ -36,6 +36,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.body_lines(table(spark, sf_dir, "job_descriptions"), _page_model(spark, sf_dir), of_ad=False)
 
 
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pages.bodies(table(spark, sf_dir, "job_descriptions"), _page_model(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pages.residue(table(spark, sf_dir, "job_descriptions"), _page_model(spark, sf_dir))
@@ -82,7 +87,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_bodies, p4_found, p5_found, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
