@@ -279,7 +279,8 @@ def to_epoch_seconds(value: Column, reference: Column, zone: str = "Europe/Berli
     def run(v: pa.Array, m: pa.Array, r: pa.Array) -> pa.Array:
         return parse_batch(v, m, r, zone)
 
-    return run(value, shape_mask(value), reference)
+    # Marked nondeterministic, so that a filter on the result does not make it run twice.
+    return run.asNondeterministic()(value, shape_mask(value), reference)
 
 
 def with_epoch_seconds(df: DataFrame, value: str, reference: str, out: str = "epoch_s", zone: str = "Europe/Berlin") -> DataFrame:
