@@ -29,8 +29,8 @@ BLOCK = 20_000
 
 
 def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens) of the documents that have tokens."""
-    return documents.select("doc_id", "source", n_tokens(F.col("text"), path).alias("n_tokens")).filter("n_tokens > 0")
+    """(doc_id, source, n_tokens) of the documents that have tokens: those whose text is not empty."""
+    return documents.filter(F.length("text") > 0).select("doc_id", "source", n_tokens(F.col("text"), path).alias("n_tokens"))
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
