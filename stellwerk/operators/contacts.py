@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellwerk.constants import CONTACTS_PAGE_SIZE, CUISINE_LANGUAGES, EMAIL_BONUS, KIND_SCORES, LANGUAGE_BONUS, MAX_SCORE, UNKNOWN_KIND_SCORE
-from stellwerk.functions.contact import phone
+from stellwerk.constants import CONTACTS_PAGE_SIZE, CUISINE_LANGUAGES, EMAIL_BONUS, IMPRINT_PATHS, KIND_SCORES, LANGUAGE_BONUS, MAX_SCORE, UNKNOWN_KIND_SCORE
+from stellwerk.functions.contact import email, phone, site_root
 from stellwerk.functions.text import nocase
 
 
@@ -44,14 +44,14 @@ def spoken_cuisine(cuisine: Column, languages: list[str]) -> Column:
     return F.get(F.filter(said, lambda x: x.isNotNull() & F.array_contains(spoken, x)), F.lit(0))
 
 
-def score(kind: Column, email: Column, cuisine: Column, languages: list[str]) -> Column:
+def score(kind: Column, mail: Column, cuisine: Column, languages: list[str]) -> Column:
     """How well a place suits work away from customers, 0 to 100."""
     base = F.coalesce(_lookup(KIND_SCORES, kind), F.lit(UNKNOWN_KIND_SCORE))
-    extra = F.when(F.length(email) > 0, EMAIL_BONUS).otherwise(0) + F.when(spoken_cuisine(cuisine, languages).isNotNull(), LANGUAGE_BONUS).otherwise(0)
+    extra = F.when(F.length(mail) > 0, EMAIL_BONUS).otherwise(0) + F.when(spoken_cuisine(cuisine, languages).isNotNull(), LANGUAGE_BONUS).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(MAX_SCORE), base + extra)).cast("int")
 
 
-def reason(kind: Column, email: Column, cuisine: Column, languages: list[str]) -> Column:
+def reason(kind: Column, mail: Column, cuisine: Column, languages: list[str]) -> Column:
     """Why, in one sentence."""
     known = _lookup(KIND_SCORES, kind)
     what = F.concat(F.lit("A "), F.replace(kind, F.lit("_"), F.lit(" ")))
@@ -62,7 +62,7 @@ def reason(kind: Column, email: Column, cuisine: Column, languages: list[str]) -
         .otherwise(F.concat(what, F.lit(": mostly serving customers")))
     )
     language = spoken_cuisine(cuisine, languages)
-    return F.concat(F.concat_ws(", ", kind_text, F.when(F.length(email) > 0, F.lit("you can write instead of phoning")), F.when(language.isNotNull(), F.concat(F.lit("their kitchen may speak "), F.initcap(language)))), F.lit("."))
+    return F.concat(F.concat_ws(", ", kind_text, F.when(F.length(mail) > 0, F.lit("you can write instead of phoning")), F.when(language.isNotNull(), F.concat(F.lit("their kitchen may speak "), F.initcap(language)))), F.lit("."))
 
 
 def upserted(sightings: DataFrame, run: str = "run_id") -> DataFrame:
@@ -107,3 +107,13 @@ def filled(contacts: DataFrame, texts: DataFrame) -> DataFrame:
     """Scripts by kind with the place's name and town put in."""
     text = F.replace(F.replace(F.col("template"), F.lit("{place}"), F.coalesce("name", F.lit(""))), F.lit("{city}"), F.coalesce("city", F.lit("")))
     return contacts.join(texts, "kind").select("osm_id", "kind", text.alias("script"))
+
+
+def imprint_mail(places: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(contact_id, email): places with a website only, with the address on the first of their imprint pages that answered.
+
+    ``fetched`` has url, status and html; the paths are tried in the vocabulary's order.
+    """
+    wanted = waiting(places).select("contact_id", site_root(F.col("website")).alias("root")).withColumn("p", F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(path).alias("path")) for k, path in enumerate(IMPRINT_PATHS)])))
+    got = wanted.withColumn("url", F.concat("root", "p.path")).join(fetched.filter("status = 200"), "url")
+    return got.groupBy("contact_id").agg(F.min_by("html", "p.rank").alias("html")).select("contact_id", email(F.col("html")).alias("email")).filter("email IS NOT NULL")

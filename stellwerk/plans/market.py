@@ -12,6 +12,7 @@ from stellwerk.functions import contact, dates, geo, html, text
 from stellwerk.operators import contacts as C
 from stellwerk.operators import journal as J
 from stellwerk.operators import merge as M
+from stellwerk.operators import profile
 from stellwerk.plans import views as V
 from stellwerk.session import ship, table
 from stellwerk.sources import pages as P
@@ -230,6 +231,15 @@ def q_experience_years(spark, sf_dir):
     return J.experience_years(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), month.alias("start_month"), (month + F.col("o_orderkey") % 30).alias("end_month")))
 
 
+def q_language_level(spark, sf_dir):
+    said = V.pick([*profile.LEVEL_WORDS, "b2", " C1 ", "gut"], F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", profile.language_level(said).alias("level"))
+
+
+def q_role_keywords(spark, sf_dir):
+    return table(spark, sf_dir, "jobs").select("job_id", F.array_join(profile.role_keywords(F.split("title", "[ /]")), "|").alias("keywords"))
+
+
 # Contacts ------------------------------------------------------------------------------------------------------------
 def q_places(spark, sf_dir):
     return C.places(V.elements(spark, sf_dir), "Ingolstadt").drop("tags")
@@ -385,6 +395,8 @@ ORACLE = {
     "q_run_trouble": "SELECT run_id, all_failed, all_failed AND contains(lower(e), 'getaddrinfo') AS offline FROM (SELECT run_id, CASE WHEN run_id % 2 = 0 THEN '[\"BA: getaddrinfo failed\"]' ELSE errors END AS e FROM runs) JOIN (SELECT run_id, bool_and(run_id % 4 = 0 OR source != 'BA') AS all_failed FROM raw_postings GROUP BY run_id) USING (run_id)",
     "q_fresh_requests": "SELECT DISTINCT sha1(source_url) AS cache_key FROM raw_postings WHERE sha1(source_url) NOT IN (SELECT sha1(source_url) FROM raw_postings WHERE posting_no % 2 = 0 AND posting_no % 3 != 0 AND fetched_at > TIMESTAMP '2026-02-26 10:00:00' - INTERVAL 24 HOUR)",
     "q_experience_years": "SELECT person, round_even((max(e) - min(s)) / 12.0, 1)::DOUBLE AS years FROM (SELECT o_custkey AS person, year(o_orderdate) * 12 + month(o_orderdate) AS s, year(o_orderdate) * 12 + month(o_orderdate) + o_orderkey % 30 AS e FROM orders) GROUP BY person",
+    "q_language_level": "SELECT c_custkey, list_extract([" + ", ".join(f"'{v}'" for v in [*profile.LEVEL_WORDS.values(), "B2", "C1"]) + f", NULL], c_custkey % {len(profile.LEVEL_WORDS) + 3} + 1) AS level FROM customer",
+    "q_role_keywords": "SELECT job_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(list_transform(regexp_split_to_array(title, '[ /]'), lambda k: lower(trim(k, ' '))), lambda k: length(k) > 0), lambda k: [k])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), '|') AS keywords FROM jobs",
     "q_places": f"WITH {V.PLACES_SQL} SELECT contact_id, name, kind, city, street, phone, email, website, lat, lon FROM v_place",
     "q_contact_score": f"WITH {_SCORED} SELECT osm_id, back_of_house_score FROM v_s",
     "q_contact_reason": f"WITH {_SCORED} SELECT osm_id, concat_ws(', ', 'A ' || replace(kind, '_', ' ') || CASE WHEN base IS NULL THEN ' — not a kind we know much about' WHEN base >= 70 THEN ': mostly back-of-house work' WHEN base >= 45 THEN ': some kitchen work, some customer contact' ELSE ': mostly serving customers' END, CASE WHEN email IS NOT NULL THEN 'you can write instead of phoning' END, CASE WHEN language IS NOT NULL THEN 'their kitchen may speak ' || upper(language[1]) || language[2:] END) || '.' AS score_reason FROM v_s",

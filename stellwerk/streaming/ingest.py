@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stellwerk.constants import MAX_LEGS
 from stellwerk.functions.text import content_hash, dedupe_key
 from stellwerk.operators.enrichment import ask
 from stellwerk.operators.merge import merge
@@ -91,3 +92,14 @@ class Companion:
 def stream_of(spark: SparkSession, folder: str, like: DataFrame, files: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, so many files to a batch."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def run_until_done(leg: Callable[[int], tuple[int, bool]], most: int = MAX_LEGS) -> list[int]:
+    """Run legs (leg number to found, done) until one is done or finds nothing, at most so many. Returns what each found."""
+    found: list[int] = []
+    while len(found) < most:
+        n, done = leg(len(found))
+        found.append(n)
+        if done or n == 0:
+            break
+    return found
