@@ -36,7 +36,7 @@ AD, PAGE, NOTICE, RESIDUE = range(4)
 #: Pages that the classifier is fitted on, at most.
 SAMPLE_PAGES = 6000
 #: Price of a change between ad and page along a page's lines, in log-odds.
-CHANGE = 3.0
+CHANGE = 0.75
 
 # Names of fields that templates have placeholders for.
 FIELDS = "firma firmenname company unternehmen arbeitgeber ort stadt city place location standort name vorname nachname gehalt salary lohn preis price vergütung telefon phone url link plz zip datum date start beginn kontakt contact email e-mail mail ansprechpartner abteilung bereich department benefits stelle stellentitel stellenbezeichnung job job_title jobtitle titel title position aufgaben tasks anrede text adresse address"
