@@ -56,7 +56,7 @@ def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     texts = _descriptions(spark, sf_dir)
-    return truncation.find_cut(texts, truncation.fit_ends(truncation.sample_texts(texts)), truncation.baselines(texts))
+    return truncation.find_cut(texts, truncation.fit_ends(truncation.sample_texts(texts), truncation.known_words(texts)), truncation.baselines(texts))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Over each whole text runs a stack automaton of brackets and quotation marks; wit
 multi-byte sequences, entities and tags at the end, marks of omission, and the source's limits, goes what the end of
 the text says: whether it ends as lines and sentences end, or in the middle. The last is a linear classifier on the
 last tokens. It is fitted at run time on a bounded number of texts (``SAMPLE_TEXTS``, chosen by a hash of the text) that it cuts itself: ends
-of lines and sentences, with or without their full stop, are whole ends, other places are cuts.
+of lines and sentences, with or without their full stop, are whole ends, other places are cuts. Which words it takes
+for whole ones is counted over all texts (:func:`known_words`).
 
 A source's baseline is the share of its texts that end without a terminator; its limits are lengths, in characters or
 bytes, at which a share of its texts ends that chance does not explain (``LIMIT_SHARE``), counted over all texts.
@@ -19,8 +20,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,10 @@ from stellwerk.llm.pages import take_by_hash
 
 #: Texts that the classifier of ends is fitted on, at most.
 SAMPLE_TEXTS = 6000
+#: Bits of the map of known words: its size is one whatever the corpus.
+KNOWN_BITS = 26
+#: Words that a task holds before it hands them on.
+HELD_WORDS = 500_000
 #: A length at which this share of a source's texts ends, and LIMIT_TEXTS texts or more, is a limit.
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 8
 #: Limits within so many characters are one: marks of omission vary a little.
@@ -47,6 +53,7 @@ _BROKEN = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d{0,5}|#x[0-9a-f]{0,5})|<(?:/?[a
 _ENTITY = re.compile(r"&(?:a(?:mp?)?|n(?:b(?:sp?)?)?|l(?:t)?|g(?:t)?|q(?:u(?:ot?)?)?|[aou](?:u(?:ml?)?)?|s(?:z(?:l(?:ig?)?)?)?|e(?:u(?:ro?)?)?|#\d{0,5}|#x[0-9a-f]{0,5})$", re.I)
 _TOKEN = re.compile(r"\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b|\d+|[^\W\d_]+|[^\w\s]|_+")
 _END = re.compile(r"[.!?…:;)\]}“”»\"'。！？]$")
+_WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?](?=\s+[A-ZÄÖÜ„\"])")
 
 
@@ -75,7 +82,7 @@ def _shape(token: str) -> str:
     return "HEX" if not token.isalpha() and token.isalnum() else token
 
 
-def features(text: str, known: frozenset[str] | None) -> list[str]:
+def features(text: str, known: Container[str] | None) -> list[str]:
     """What the end of a text shows: its last tokens, as they are and by kind."""
     line = text[max(text.rfind("\n"), text.rfind("\r"), len(text) - 300) + 1 :]
     tokens = [_shape(t) for t in _TOKEN.findall(line)[-12:]]
@@ -106,13 +113,70 @@ def features(text: str, known: frozenset[str] | None) -> list[str]:
     return out
 
 
+@dataclass(frozen=True)
+class WordMap:
+    """Words by one bit of a hash each: those put in are in it, and as many others as bits are taken by chance."""
+
+    buckets: dict[int, bytes]
+
+    def __contains__(self, word: str) -> bool:
+        slot = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << KNOWN_BITS) - 1)
+        bucket = self.buckets.get(slot >> 15)
+        return bucket is not None and bool(bucket[(slot & 0x7FFF) >> 3] >> (slot & 7) & 1)
+
+
+def _inner_words(text: str) -> set[str]:
+    """The words of a text without its last one, which may be the rest of a word, before a mark of omission too."""
+    text = text.rstrip()
+    text = (text[:-80] + _OMISSION.sub("", text[-80:])).rstrip()
+    return set(_WORD.findall(text[: max(0, text.rfind(" "))]))
+
+
+def known_words(texts: DataFrame) -> WordMap:
+    """The words that two distinct texts or more have, over all of ``texts``.
+
+    A word is in two texts if the least and the greatest hash of its texts differ, so what is gathered is a row per
+    word and task, not per text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, int] = {}
+        twice: set[str] = set()
+
+        def held() -> pa.RecordBatch:
+            words = [w for w in first if w not in twice]
+            n = len(words)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([*words, *twice], pa.string()), pa.array([first[w] for w in words] + [0] * len(twice), pa.int64()), pa.array([False] * n + [True] * len(twice), pa.bool_())], names=["word", "mark", "twice"]
+            )
+            first.clear()
+            twice.clear()
+            return out
+
+        for batch in batches:
+            for t, mark in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for w in _inner_words(t.as_py()) - twice:
+                    if first.setdefault(w, mark) != mark:
+                        twice.add(w)
+                if len(first) >= HELD_WORDS:
+                    yield held()
+        yield held()
+
+    words = texts.filter(F.length("text") > 0).select("text", F.xxhash64("text").alias("mark")).mapInArrow(run, "word string, mark bigint, twice boolean")
+    slot = F.crc32(F.col("word").cast("binary")).bitwiseAND((1 << KNOWN_BITS) - 1)
+    slots = words.groupBy("word").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.bool_or("twice").alias("twice")).filter(F.col("twice") | (F.col("lo") != F.col("hi"))).select(slot.alias("slot"))
+    # All slots of a bucket in one task first, else each task would send a map of every bucket.
+    by = slots.withColumn("bucket", F.shiftright("slot", 15)).repartition("bucket").groupBy("bucket")
+    return WordMap({r[0]: bytes(r[1]) for r in by.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1))).collect()})
+
+
 @dataclass
 class Ends:
     """Weights of the features of ends, and the words seen in two texts or more."""
 
     weights: dict[str, float]
     bias: float
-    known: frozenset[str]
+    known: Container[str]
 
     def score(self, text: str) -> float:
         """Log-odds of a cut."""
@@ -120,14 +184,12 @@ class Ends:
         return self.bias + sum(w.get(f, 0.0) for f in features(text, self.known))
 
 
-def fit_ends(texts: list[str], *, cuts: int = 5, ends: int = 6, l2: float = 2e-5, steps: int = 60, seed: int = 11) -> Ends:
-    """The classifier of ends, on the given texts."""
+def fit_ends(texts: list[str], known: Container[str] | None = None, *, cuts: int = 5, ends: int = 6, l2: float = 2e-5, steps: int = 60, seed: int = 11) -> Ends:
+    """The classifier of ends, on the given texts; without ``known`` words, those of two of these texts or more."""
     rng = random.Random(seed)
-    seen: dict[str, int] = {}
-    for t in texts:
-        for w in set(re.findall(r"[^\W\d_]+", t[: max(0, t.rfind(" "))])):
-            seen[w] = seen.get(w, 0) + 1
-    known = frozenset(w for w, n in seen.items() if n >= 2)
+    if known is None:
+        seen = Counter(w for t in texts for w in _inner_words(t))
+        known = frozenset(w for w, n in seen.items() if n >= 2)
     rows: list[list[str]] = []
     labels: list[int] = []
     for t in texts:

@@ -1,11 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from stellwerk.llm import hashed, pages, truncation
+from stellwerk.llm import hashed, pages, queries, truncation
 
 
 def test_lines_and_words():
@@ -123,3 +124,30 @@ def test_cut_texts_are_told_from_whole_ones(tables):
     cut = [t for t in cut if not re.search(r"[.!?]\s*$|\n$", t)]
     assert sum(truncation.is_cut(t, ends, usual) for t in cut) / len(cut) > 0.9
     assert sum(truncation.is_cut(t, ends, usual) for t in whole) / len(whole) < 0.05
+
+
+def test_known_words_are_counted_over_all_texts(spark, monkeypatch):
+    """Words of two distinct texts, whatever the sample; copies count once, and the rest of a word at an end never."""
+    rows = ["Lagerhilfe gesucht von Kronwerk hier", "Kronwerk sucht Lagerhilfe für Abends", "Nur hier steht Zwirnband bei uns", "Nur hier steht Zwirnband bei uns", "Wäsche im Kelterh", "Wir im Kelterh", "bei der Arbo [mehr]", "aus der Arbo …", "", " "]
+    df = spark.createDataFrame([("o", "s", str(k), t) for k, t in enumerate(rows)] + [("o", "s", "n", None)], "origin string, source string, row_key string, text string").repartition(5)
+    want = {w: n >= 2 for w, n in Counter(w for t in set(rows) for w in truncation._inner_words(t)).items()}
+    for held in (truncation.HELD_WORDS, 1):
+        monkeypatch.setattr(truncation, "HELD_WORDS", held)
+        known = truncation.known_words(df)
+        assert {w: w in known for w in want} == want and "Kronwerk" in known and "der" in known
+        assert not any(w in known for w in ("Zwirnband", "Kelterh", "Arbo"))
+    assert "der" not in truncation.known_words(df.limit(0))
+    # A sample of one text knows no word of two texts; the classifier takes the list that it is given.
+    ends = truncation.fit_ends(truncation.sample_texts(df, 1), known)
+    assert "Kronwerk" in ends.known and "w=5k" in truncation.features("von Kronwerk", ends.known)
+
+
+def test_query_knows_the_words_of_all_texts(spark, data, monkeypatch):
+    """p7's classifier knows words that its sample does not."""
+    seen = []
+    monkeypatch.setattr(truncation, "find_cut", lambda texts, ends, base: seen.append(ends) or texts)
+    monkeypatch.setattr(truncation.sample_texts, "__defaults__", (20,))
+    queries._cuts(spark, data)
+    texts = [r.text for r in queries._descriptions(spark, data).select("text").distinct().collect()]
+    often = {w for w, n in Counter(w for t in texts for w in truncation._inner_words(t)).items() if n >= 2}
+    assert len(often) > 100 and all(w in seen[0].known for w in often)
