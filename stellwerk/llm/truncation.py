@@ -49,7 +49,11 @@ PAIRS = {"(": ")", "[": "]", "{": "}", "„": "“”", "«": "»", "「": "」"
 _MARKS = re.compile(r"[()\[\]{}„“”«»「」『』（）]|<(?=/?[A-Za-z!])|(?<=[A-Za-z\"'/])>")
 _OMISSION = re.compile(r"\s*(?:\[(?:mehr|more|…|\.\.\.)\]|(?:…|\.\.\.)\s*(?:\(?(?:weiterlesen|mehr(?: anzeigen| lesen)?|read more|more)\)?)?|\((?:mehr|more)\))\s*$", re.I)
 _EXPLICIT = re.compile(r"(?:\[(?:mehr|more)\]|weiterlesen|mehr anzeigen|mehr lesen|read more|\((?:mehr|more)\))\s*$", re.I)
-_BROKEN = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d{0,5}|#x[0-9a-f]{0,5})|<(?:/?[a-z][a-z0-9]{0,9}(?:\s[^<>]{0,80})?)?|\\u?[0-9a-f]{0,3}|%[0-9A-F]?)$", re.I)
+_BROKEN = re.compile(r"(?:�+|&(?:[a-z]{1,6}|#\d{0,5}|#x[0-9a-f]{0,5})|<(?:/?[a-z][a-z0-9]{0,9}(?:\s[^<>]{0,80})?)?)$", re.I)
+#: Escapes that are not over: a backslash-u with three digits or fewer, and a percent sign inside a word or an address (not after a number: "1,5 %").
+_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\u[0-9a-f]{0,3}$|(?:[^\W\d]|[/=&?#.~+-]|%[0-9a-f]{2})%[0-9a-f]?$", re.I)
+#: Placeholders that end with a percent sign.
+_PERCENT_FIELD = re.compile(r"%%\w+%%$|(?<![\w%])%(?![0-9a-fA-F]{2}%)\w+%$")
 _ENTITY = re.compile(r"&(?:a(?:mp?)?|n(?:b(?:sp?)?)?|l(?:t)?|g(?:t)?|q(?:u(?:ot?)?)?|[aou](?:u(?:ml?)?)?|s(?:z(?:l(?:ig?)?)?)?|e(?:u(?:ro?)?)?|#\d{0,5}|#x[0-9a-f]{0,5})$", re.I)
 _TOKEN = re.compile(r"\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b|\d+|[^\W\d_]+|[^\w\s]|_+")
 _END = re.compile(r"[.!?…:;)\]}“”»\"'。！？]$")
@@ -250,6 +254,8 @@ def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
         return True
     if (m := _BROKEN.search(bare)) and ("�" in m[0] or m[0][0] == "<" or (m[0][0] == "&" and _ENTITY.search(bare))):
         return True
+    if _ESCAPE.search(bare[-80:]) and not _PERCENT_FIELD.search(bare[-80:]):
+        return True
     m = _OMISSION.search(bare[-80:])
     if m and m[0].strip():
         near_limit = any(abs(len(bare) - n) <= NEARBY for n in base.chars)

@@ -151,3 +151,13 @@ def test_query_knows_the_words_of_all_texts(spark, data, monkeypatch):
     texts = [r.text for r in queries._descriptions(spark, data).select("text").distinct().collect()]
     often = {w for w, n in Counter(w for t in texts for w in truncation._inner_words(t)).items() if n >= 2}
     assert len(often) > 100 and all(w in seen[0].known for w in often)
+
+
+ESCAPES = [("Wir freuen uns auf den Fr\\u00", True), ("im B\\u", True), ("im B\\u00f", True), ("https://werk.example/m%C3%B", True), ("https://werk.example/stelle?ort=M%", True), ("https://werk.example/stelle?ort=Fl%C3%", True), ("https://werk.example/stelle?ort=%C3%", True), ("für %%STELLE%", True), ("im B\\u00fc", False), ("Pfad \\\\u00", False), ("Ort: %%STELLENTITEL%%", False), ("Ort: %ORT%", False), ("ca. 1,5 %", False), ("Pensum 100%", False), ("Zuschlag 25 %", False), ("Angaben in %", False)]
+
+
+def test_broken_escapes_are_cuts():
+    """An escape that is not over is a cut, whatever the classifier says; numbers in percent and placeholders are none."""
+    sure = truncation.Ends({}, -50.0, frozenset())
+    usual = truncation.Baseline(frozenset(), frozenset(), 0.0)
+    assert [(t, truncation.is_cut(t, sure, usual)) for t, _ in ESCAPES] == ESCAPES
