@@ -8,7 +8,8 @@ of lines and sentences, with or without their full stop, are whole ends, other p
 for whole ones is counted over all texts (:func:`known_words`).
 
 A source's baseline is the share of its texts that end without a terminator; its limits are lengths, in characters or
-bytes, at which a share of its texts ends that chance does not explain (``LIMIT_SHARE``), counted over all texts.
+bytes, at which a share of its texts ends that chance does not explain (``LIMIT_SHARE``), counted over all distinct
+texts of the source: copies are one text.
 
 Defined results: null, empty and blank texts are not cut; a text that was cut right after a sentence, with nothing
 left open, cannot be told from a whole one and is not reported; texts of any length are read whole; repeated rows
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stellwerk.llm.pages import take_by_hash
-
 #: Texts that the classifier of ends is fitted on, at most.
 SAMPLE_TEXTS = 6000
 #: Bits of the map of known words: its size is one whatever the corpus.
@@ -281,13 +280,15 @@ def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
 
 
 def baselines(texts: DataFrame) -> dict[tuple[str, str], Baseline]:
-    """The baseline of each (origin, source), from counts over all texts; a handful of rows for each source."""
+    """The baseline of each (origin, source), from counts over all its distinct texts; a handful of rows for each source."""
     by = ["origin", "source"]
     closed = F.rlike(F.substring(F.rtrim("text"), -2, 2), F.lit("[.!?…:;)\\]}“”»\"'。！？]\\s?$"))
     counts = (
         texts.filter(F.length("text") > 0)
-        .groupBy(*by, F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
-        .agg(F.count("*").alias("n"), F.count_if(closed).alias("n_closed"))
+        .select(*by, F.xxhash64("text").alias("mark"), F.length("text").alias("chars"), F.octet_length("text").alias("octets"), closed.alias("closed"))
+        .distinct()
+        .groupBy(*by, "chars", "octets")
+        .agg(F.count("*").alias("n"), F.count_if("closed").alias("n_closed"))
     )
     # From here on there is a row per source and length, not per text.
     whole, same_chars, same_octets = Window.partitionBy(*by), Window.partitionBy(*by, "chars"), Window.partitionBy(*by, "octets")
@@ -312,8 +313,16 @@ def baselines(texts: DataFrame) -> dict[tuple[str, str], Baseline]:
 
 
 def sample_texts(texts: DataFrame, limit: int = SAMPLE_TEXTS) -> list[str]:
-    """At most ``limit`` distinct texts, chosen by their hash."""
-    return [r[0] for r in take_by_hash(texts.filter(F.length("text") > 40).select("text"), "text", limit).collect()]
+    """At most ``limit`` distinct texts, those of the smallest hash.
+
+    The distinct texts are estimated first, so that each task lets through only what has a chance to be chosen; copies
+    are made one in each task before anything is sent.
+    """
+    long = texts.filter(F.length("text") > 40).select("text")
+    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    n = long.agg(F.approx_count_distinct("text", 0.02)).first()[0]
+    some = long.filter(mark < int((1 << 40) * 1.3 * limit / n + 1)) if n > 2 * limit else long
+    return [r[0] for r in some.distinct().orderBy(mark, "text").limit(limit).collect()]
 
 
 def find_cut(texts: DataFrame, ends: Ends, base: dict[tuple[str, str], Baseline]) -> DataFrame:

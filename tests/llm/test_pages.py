@@ -161,3 +161,19 @@ def test_broken_escapes_are_cuts():
     sure = truncation.Ends({}, -50.0, frozenset())
     usual = truncation.Baseline(frozenset(), frozenset(), 0.0)
     assert [(t, truncation.is_cut(t, sure, usual)) for t, _ in ESCAPES] == ESCAPES
+
+
+def test_copies_are_one_text(spark):
+    """Copies make no limit, no terminator's share and no sample of their own."""
+    texts = [f"Stelle {k}: " + "Wir suchen dich für das Lager. " * (k % 90 + 2) + "Bis bald" * (k % 2) for k in range(400)]
+    copies = ["Wir suchen ab sofort jemanden, der gern an der Theke steht"] * 200
+    schema = "origin string, source string, row_key string, text string"
+    df = lambda rows: spark.createDataFrame([("o", "s", str(k), t) for k, t in enumerate(rows)], schema).repartition(4)
+    once, often = truncation.baselines(df([*texts, copies[0]])), truncation.baselines(df(texts + copies))
+    assert often == once and len(copies[0]) not in often["o", "s"].chars
+    cut = [f"{k:03}" + "a" * 97 for k in range(40)]
+    assert 100 in truncation.baselines(df(texts + cut))["o", "s"].chars
+    for limit in (50, 500):
+        sample = truncation.sample_texts(df(texts + copies), limit)
+        assert len(sample) == len(set(sample)) == min(limit, 401) and sample == truncation.sample_texts(df([*texts, copies[0]]), limit)
+    assert truncation.sample_texts(df(texts).limit(0)) == []
