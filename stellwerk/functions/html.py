@@ -7,7 +7,6 @@ no built-in), which only sees rows that have an ampersand. JSON-LD needs recursi
 from __future__ import annotations
 
 import html as html_lib
-import json
 import re
 
 import pyarrow as pa
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stellwerk.constants import LOGIN_WORDS
+from stellwerk.functions.jsontext import load
 from stellwerk.functions.text import squeeze
 
 
@@ -60,12 +60,12 @@ def _one(value: object) -> object:
 def _postings(value: object) -> list[dict]:
     found, todo = [], [value]
     while todo:
-        x = todo.pop(0)
+        x = todo.pop()
         if isinstance(x, list):
-            todo[:0] = x
+            todo.extend(reversed(x))
         elif isinstance(x, dict):
             if isinstance(x.get("@graph"), list):
-                todo[:0] = x["@graph"]
+                todo.extend(reversed(x["@graph"]))
                 continue
             kinds = x.get("@type")
             if any(isinstance(k, str) and k.lower() == "jobposting" for k in (kinds if isinstance(kinds, list) else [kinds])):
@@ -92,8 +92,8 @@ def jsonld_of(markup: str | None) -> list[dict[str, str | None]]:
     out = []
     for block in _LD.findall(markup or ""):
         try:
-            out += [_fields(p) for p in _postings(json.loads(block))]
-        except (ValueError, RecursionError):
+            out += [_fields(p) for p in _postings(load(block, str))]
+        except ValueError:
             continue
     return out
 

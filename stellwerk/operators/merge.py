@@ -6,44 +6,70 @@ to the source that reported it first (its owner). Arrivals of the owner are rows
 to the first row. Everything is grouped aggregation with partial sums on the map side (``min_by``, ``max``), so an
 identity or id with a third of all arrivals costs its tasks no more than others; nothing is sorted within a group.
 
-An id keeps the identity of its first arrival. Arrivals are totally ordered by ``seq``.
+Arrivals are read twice: :func:`placed` reduces them to a narrow row per
+id, which is materialised; what wins is decided on sequence numbers; texts are fetched last, by the winning number.
+
+An id keeps the identity of its first arrival. Arrivals are totally ordered by ``seq``, which is unique.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.functions.text import content_hash, dedupe_key, non_blank
+from stellwerk.session import cut
+
 
+def placed(arrivals: DataFrame, seq: str = "seq", more: Mapping[str, Column] | None = None) -> DataFrame:
+    """(job_id, key, source, first_seq, row_id): a row per id with its identity and the row that it belongs to.
 
-def keyed(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
-    """Arrivals with ``key`` (identity of the id's first arrival), ``owner`` and ``row_id`` (the row each belongs to)."""
-    a = arrivals.withColumn("key", dedupe_key(F.col("title"), F.col("company"), F.col("city")))
-    ids = a.groupBy("job_id").agg(F.min_by("key", seq).alias("key"), F.min_by("source", seq).alias("source"), F.min(seq).alias("first_seq"))
+    ``more`` are further aggregates of an id's arrivals, by name.
+    """
+    key = dedupe_key(F.col("title"), F.col("company"), F.col("city"))
+    ids = cut(
+        arrivals.withColumn("key", key).groupBy("job_id")
+        .agg(F.min_by("key", seq).alias("key"), F.min_by("source", seq).alias("source"), F.min(seq).alias("first_seq"), *[c.alias(n) for n, c in (more or {}).items()])
+    )
     owners = ids.groupBy("key").agg(F.min_by("source", "first_seq").alias("owner"), F.min_by("job_id", "first_seq").alias("target"))
-    placed = ids.join(owners, "key").select("job_id", "key", "owner", F.when(F.col("source") == F.col("owner"), F.col("job_id")).otherwise(F.col("target")).alias("row_id"))
-    return a.drop("key").join(placed, "job_id")
+    row_id = F.when(F.col("source") == F.col("owner"), F.col("job_id")).otherwise(F.col("target"))
+    return ids.join(owners, "key").select("job_id", "key", "source", "first_seq", row_id.alias("row_id"), *(more or {}))
 
 
 def merge(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
     """The stored jobs: one row per merged ad."""
-    k = keyed(arrivals, seq)
     own = F.col("job_id") == F.col("row_id")
-    first_own = lambda c: F.min_by(c, F.when(own, F.col(seq)))
-    first_other = lambda c, usable: F.min_by(c, F.when(~own & usable, F.col(seq)))
-    fill_text = first_other("description", non_blank(F.col("description")))
-    fill_url = first_other("apply_url", F.coalesce(F.col("apply_url") != "", F.lit(False)))
-    rows = k.groupBy("row_id").agg(
-        F.any_value("key").alias("dedupe_key"),
-        *[first_own(c).alias(c) for c in ("source", "title", "company", "city")],
-        first_own("description").alias("own_text"), fill_text.alias("other_text"), first_own("apply_url").alias("own_url"), fill_url.alias("other_url"),
-        F.min(F.when(own, F.col(seq))).alias("first_seq"), F.max(seq).alias("last_seq"),
+    # Of each id: its last arrival, and for what fills a gap, its first with a text and its first with an address.
+    has_url = F.coalesce(F.col("apply_url") != "", F.lit(False))
+    seen = {"last_seq": F.max(seq), "text_seq": F.min(F.when(non_blank(F.col("description")), F.col(seq))), "url_seq": F.min(F.when(has_url, F.col(seq)))}
+    of_id = cut(placed(arrivals, seq, seen))
+    rows = of_id.groupBy("row_id").agg(
+        F.any_value("key").alias("dedupe_key"), F.min(F.when(own, F.col("first_seq"))).alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        F.min(F.when(~own, F.col("text_seq"))).alias("text_seq"), F.min(F.when(~own, F.col("url_seq"))).alias("url_seq"),
+    )
+    # A source is the first of its ids' in a row; there are as many as sources, whatever the number of arrivals.
+    others = (
+        of_id.filter(~own).groupBy("row_id", "source").agg(F.min("first_seq").alias("s"))
+        .groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]), ",").alias("also_seen_on"))
+    )
+    wins = rows.join(others, "row_id", "left")
+    texts = arrivals.select(F.col(seq).alias("at"), "source", "title", "company", "city", "description", "apply_url")
+    # The winning arrivals of a row, two at most beside its own, are fetched by number and gathered again.
+    parts = wins.select("row_id", F.explode(F.array_distinct(F.array_compact(F.array("first_seq", "text_seq", "url_seq")))).alias("at")).join(texts, "at")
+    first = lambda c: F.max(F.when(F.col("at") == F.col("first_seq"), F.col(c)))
+    got = (
+        parts.join(rows.select("row_id", "first_seq", "text_seq", "url_seq"), "row_id")
+        .groupBy("row_id")
+        .agg(
+            *[first(c).alias(c) for c in ("source", "title", "company", "city")], first("description").alias("own_text"), first("apply_url").alias("own_url"),
+            F.max(F.when(F.col("at") == F.col("text_seq"), F.col("description"))).alias("other_text"), F.max(F.when(F.col("at") == F.col("url_seq"), F.col("apply_url"))).alias("other_url"),
+        )
     )
-    others = k.filter(~own).groupBy("row_id", "source").agg(F.min(seq).alias("s")).groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]), ",").alias("also_seen_on"))
     text = F.when(non_blank(F.col("own_text")), F.col("own_text")).otherwise(F.coalesce("other_text", "own_text"))
     return (
-        rows.join(others, "row_id", "left")
+        wins.join(got, "row_id")
         .withColumn("description", text)
         .select(
             F.col("row_id").alias("job_id"), "source", "dedupe_key", "title", "company", "city", "description", content_hash(F.col("description")).alias("content_hash"),
@@ -52,8 +78,15 @@ def merge(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def outcomes(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
-    """(seq, job_id, row_id, outcome): 'new' for the arrival that made a row, else 'duplicate'."""
-    k = keyed(arrivals, seq)
-    firsts = k.filter(F.col("job_id") == F.col("row_id")).groupBy("row_id").agg(F.min(seq).alias("made"))
-    return k.join(firsts, "row_id").select(seq, "job_id", "row_id", F.when(F.col(seq) == F.col("made"), "new").otherwise("duplicate").alias("outcome"))
+def also_seen_on(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
+    """(job_id, also_seen_on): the other sources of each merged ad, in the order in which they reported it."""
+    ids = placed(arrivals, seq).filter("job_id != row_id")
+    firsts = ids.groupBy("row_id", "source").agg(F.min("first_seq").alias("s"))
+    return firsts.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]), ",").alias("also_seen_on")).withColumnRenamed("row_id", "job_id")
+
+
+def outcomes(arrivals: DataFrame, seq: str = "seq", carry: Sequence[str] = ()) -> DataFrame:
+    """(seq, job_id, row_id, outcome, and the columns to carry): 'new' for the arrival that made a row, else 'duplicate'."""
+    made = F.when((F.col("job_id") == F.col("row_id")) & (F.col(seq) == F.col("first_seq")), "new").otherwise("duplicate")
+    ids = placed(arrivals, seq).select("job_id", "row_id", "first_seq")
+    return arrivals.select(seq, "job_id", *carry).join(ids, "job_id").select(seq, "job_id", "row_id", made.alias("outcome"), *carry)

@@ -20,7 +20,6 @@ Defined results:
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -28,25 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stellwerk.functions.jsontext import load
 from stellwerk.session import cut
 
 NODE_FIELDS = [("digest", "string"), ("node", "int"), ("parent", "int"), ("label", "string"), ("ordinal", "int"), ("kind", "string"), ("scalar", "string")]
 
 
-class _Number(str):
-    """A number as written."""
-
-    __slots__ = ()
-
-
-def _reject(text: str) -> None:
-    raise ValueError(text)
-
-
-def _load(payload: str) -> object:
-    return json.loads(payload, parse_int=_Number, parse_float=_Number, parse_constant=_reject)
-
-
 def nodes_of(payload: str | None, labels: frozenset[str] | None = None) -> list[tuple[int, int, str, int, str, str | None]]:
     """The adjacency rows ``(node, parent, label, ordinal, kind, scalar)`` of one payload.
 
@@ -55,8 +41,8 @@ def nodes_of(payload: str | None, labels: frozenset[str] | None = None) -> list[
     if payload is None or not payload.strip():
         return []
     try:
-        root = _load(payload)
-    except (ValueError, RecursionError):
+        root = load(payload, str)
+    except ValueError:
         return []
     rows: list[tuple[int, int, str, int, str, str | None]] = []
     todo: list[tuple[int, str, int, object]] = [(-1, "", 0, root)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from stellwerk.operators import journal as J
 from stellwerk.operators import merge as M
 from stellwerk.operators import profile
 from stellwerk.plans import views as V
-from stellwerk.session import ship, table
+from stellwerk.session import new_folder, ship, table
 from stellwerk.sources import pages as P
 from stellwerk.streaming.ingest import ARRIVAL, Companion, StreamingMerge, stream_of
 
@@ -103,23 +101,15 @@ def q_upsert_merge(spark, sf_dir):
 
 
 def q_also_seen_on(spark, sf_dir):
-    return M.merge(V.arrivals(spark, sf_dir)).filter("also_seen_on IS NOT NULL").select("job_id", "also_seen_on")
+    return M.also_seen_on(V.arrivals(spark, sf_dir))
 
 
 def q_upsert_outcomes(spark, sf_dir):
     return M.outcomes(V.arrivals(spark, sf_dir))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="stellwerk-stream-")
-    return f"{shared}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-
-
 def _streamed(spark, sf_dir) -> tuple[str, DataFrame]:
-    root = _shared_folder(spark)
+    root = new_folder(spark, "stream")
     arrivals = V.arrivals(spark, sf_dir).select(*ARRIVAL)
     arrivals.repartitionByRange(4, "seq").write.parquet(f"{root}/incoming")
     return root, stream_of(spark, f"{root}/incoming", arrivals, files=2)
@@ -159,8 +149,7 @@ def q_applied_on(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    a = V.arrivals(spark, sf_dir)
-    return a.select("seq", "run_id", "source", "query_index", "page").join(M.outcomes(a).select("seq", "outcome"), "seq")
+    return M.outcomes(V.arrivals(spark, sf_dir), carry=["run_id", "source", "query_index", "page"])
 
 
 def q_run_rollup(spark, sf_dir):

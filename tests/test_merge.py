@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from stellwerk.operators.merge import merge, outcomes
+from stellwerk.operators.merge import also_seen_on, merge, outcomes
 from stellwerk.streaming.ingest import ARRIVAL, Companion, StreamingMerge, stream_of
 
 SCHEMA = "seq bigint, job_id string, source string, title string, company string, city string, description string, apply_url string"
@@ -58,6 +58,7 @@ def test_set_form_is_the_sequence(spark, seed):
     arrivals = made_up(seed)
     df = spark.createDataFrame(arrivals, SCHEMA).repartition(5)
     assert stored(merge(df)) == wanted(arrivals)
+    assert {r.job_id: r.also_seen_on for r in also_seen_on(df).collect()} == {j: w[3] for j, w in wanted(arrivals).items() if w[3]}
     assert {(r.seq, r.outcome) for r in outcomes(df).collect()} == set(sequential(arrivals)[1])
 
 
@@ -89,3 +90,11 @@ def test_companion_asks_once(spark, tmp_path):
     companion.run(stream_of(spark, str(tmp_path / "in"), df, files=1))
     got = companion.answers().collect()
     assert len(got) == 6 and {r.problem for r in got} == {None, "no"}
+
+
+def test_arrivals_are_read_twice_at_most(spark, tmp_path):
+    spark.createDataFrame(made_up(1), SCHEMA).write.parquet(f"{tmp_path}/a")
+    for made in (outcomes, merge):
+        plan = made(spark.read.parquet(f"{tmp_path}/a"))._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+        # One more scan is behind the materialised ids.
+        assert plan.count("FileScan parquet") == 1

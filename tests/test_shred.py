@@ -1,7 +1,10 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from stellwerk.functions.jsontext import _by_events, load
 from stellwerk.operators.shred import nodes_of, places_of_entries, search_pages
 
 
@@ -60,3 +63,30 @@ def test_what_is_no_page_gives_nothing(text):
 def test_shapes():
     got = nodes_of('{"a": [[1, 2], 3], "b": {"c": true}, "d": null, "a2": 1.50}')
     assert ("a", 2, "3") in {(n[2], n[3], n[5]) for n in got} and ("c", 0, "true") in {(n[2], n[3], n[5]) for n in got} and ("a2", 0, "1.50") in {(n[2], n[3], n[5]) for n in got}
+
+
+_VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=3), v, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_VALUES, st.integers(0, 60), st.sampled_from(["", ",", "}", "]", '"', " x", ":", "NaN", "-", "\\"]))
+def test_events_read_as_the_parser_does(value, at, extra):
+    whole = json.dumps(value)
+    for text in (whole, json.dumps(value, indent=1), whole[:at] + extra + whole[at:], whole[:at]):
+        try:
+            want = load(text, str)
+        except ValueError:
+            with pytest.raises(ValueError):
+                _by_events(text, str)
+        else:
+            assert _by_events(text, str) == want
+
+
+@pytest.mark.parametrize("depth", [5_000, 50_000, 400_000])
+def test_any_depth(depth):
+    deep = '{"x":' * depth + "[" * depth + "1" + "]" * depth + "}" * depth
+    page = '{"ergebnisliste": [{"referenznummer": "r", "extra": ' + deep + ', "stellenlokationen": [{"adresse": {"ort": "A"}}]}]}'
+    rows = nodes_of(page, frozenset(["ergebnisliste", "referenznummer", "stellenlokationen", "adresse", "ort"]))
+    assert [r[5] for r in rows if r[2] == "ort"] == ["A"]
+    assert len([r for r in nodes_of(page) if r[2] == "x"]) == depth
+    assert nodes_of(page[:-1]) == []
