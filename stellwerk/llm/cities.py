@@ -2,9 +2,12 @@
 
 Distinct typed values are read first (postcode, country and state names, words about the place within the town and
 connecting words are set apart; wrong decodings, spaced-out letters and abbreviations undone), then joined with the
-spellings of the reference entries by a prefix-filter set-similarity join over letter pairs (:mod:`setsim`). Of the
-verified pairs the closest spelling is kept, if it is within the edits that a typing slip makes. Values that leave
-several entries open are settled by the postcode, the one in the text before the one beside it.
+spellings of the reference entries by a prefix-filter set-similarity join over letter pairs (:mod:`setsim`), at the
+threshold that no slip in any spelling of the list falls below (:func:`least_similarity`). Of the verified pairs that
+are within the edits that a typing slip makes, the best are kept: those of the fewest edits (a swap of neighbours
+changes more letter pairs than a letter left out, so similarity alone would rank a longer name's beginning above the
+name itself), then whole names before parts of names. Values that leave several entries open are settled by the
+postcode, the one in the text before the one beside it.
 
 Defined results: null and blank values are no case; a value that no entry is close to has 0, so has one that leaves
 several entries open which no postcode settles; ties go to the postcode, then to 0. Repeated rows keep their own
@@ -13,7 +16,9 @@ result rows; very long values are read like others (they match nothing). Extra c
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stellwerk.llm.setsim import grams, similarity_join
-from stellwerk.llm.strings import distance, near, spell_out, strip_marks, tidy
-from stellwerk.session import cut
+from stellwerk.llm.strings import Near, distance, spell_out, strip_marks, tidy
+from stellwerk.session import cut, ship
 
 # Words that may stand beside a town's name and do not name it.
 BESIDE = frozenset(
@@ -31,14 +36,17 @@ BESIDE = frozenset(
 # Words that connect a name with its qualifier, and their short forms.
 LINKS = frozenset("an am a der d dem den im i bei b ob o vor v vd de".split())
 SAINT = {"st": "sankt", "skt": "sankt", "sankt": "sankt"}
-#: A slip in a name of five letters still leaves this share of its letter pairs.
-THRESHOLD = 0.33
 _WORD = re.compile(r"[^\W\d_]+\.?")
 _CODE = re.compile(r"(?<!\d)(?:d|de)?[-\s]*(\d{5})(?!\d)", re.I)
 _SPACED = re.compile(r"(?:\w\.? ){3,}\w\.?")
 _COUNTRY = re.compile(r"(?<=[,(/\s])\s*(?:de|d|brd|ger)\s*\)?\.?$", re.I)
 
 
+@functools.lru_cache(maxsize=8)
+def _index(words: frozenset[str]) -> Near:
+    return Near(words)
+
+
 def read_value(text: str, states: frozenset[str]) -> tuple[str, str, bool]:
     """(core, postcode, cut short): the letters that name the town, joined."""
     s = tidy(text)
@@ -52,11 +60,9 @@ def read_value(text: str, states: frozenset[str]) -> tuple[str, str, bool]:
     words = _WORD.findall(s.lower())
     bare = [SAINT.get(w.rstrip("."), w.rstrip(".")) for w in words]
     kept = [w for w in bare if w not in LINKS]
-    if len(kept) > 60:
-        return "".join(kept), code, False
-    named = [w for w in kept if not near(w, BESIDE, 4)]
+    named = [w for w in kept if not _index(BESIDE).has(w, 4, 5)]
     if len(named) > 1:
-        trimmed = [w for w in named if not near(w, states, 4)]
+        trimmed = [w for w in named if not _index(states).has(w, 4, 5)]
         named = trimmed or named
     short = len(named) == 1 and any(w.endswith(".") and w.rstrip(".") == named[0] for w in words)
     return "".join(named), code, short
@@ -79,16 +85,37 @@ def spellings(name: str) -> dict[str, str]:
     return out
 
 
+def reach(core: str) -> int:
+    """Edits that count as a slip in a name as typed."""
+    return 0 if len(core) < 4 else 1 if len(core) < 14 else 2
+
+
+def least_similarity(names: Iterable[str]) -> float:
+    """The least Jaccard similarity of letter pairs that a spelling of these names has with any slip in it.
+
+    The worst slip is a swap of neighbours: three pairs go and three come.
+    """
+    least = 1.0
+    for name in names:
+        for s in spellings(name):
+            bare = s.rstrip(".")
+            pairs = len({("^" + bare + "$")[i : i + 2] for i in range(len(bare) + 1)})
+            edits = max(reach(bare), reach(bare + "xx"))
+            gone = 3 * edits if len(bare) > 3 else 1
+            least = min(least, (pairs - gone) / (pairs + max(gone, 2)) if edits else 1.0)
+    # Whatever is left of a very short name: one pair in common is needed.
+    return max(least, 0.05)
+
+
 def decide(core: str, short: bool, candidates: list[tuple[str, int, str, str]]) -> list[tuple[int, str]]:
     """The closest entries, as (city_id, postcode prefix), of candidates (spelling, city_id, kind, postcode prefix)."""
     best: tuple[int, int] | None = None
     found: dict[int, str] = {}
-    reach = 1 if len(core) < 14 else 2
     for spelling, city, kind, prefix in candidates:
         if (kind == "short") != short and kind == "short":
             continue
-        d = distance(core, spelling.rstrip("."), reach)
-        if d > reach or (d and len(core) < 4):
+        d = distance(core, spelling.rstrip("."), max(1, reach(core)))
+        if d > reach(core):
             continue
         rank = (d, {"full": 0, "base": 1, "short": 2}[kind])
         if best is None or rank < best:
@@ -98,11 +125,15 @@ def decide(core: str, short: bool, candidates: list[tuple[str, int, str, str]])
     return sorted(found.items())
 
 
-def map_cities(rows: DataFrame, ref: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+def map_cities(rows: DataFrame, ref: DataFrame, *, threshold: float | None = None) -> DataFrame:
     """``rows`` (origin, row_key, city, plz) that are no exact entry, with the ``city_id`` meant, or 0.
 
-    ``ref`` has city_id, name, region_name and plz_prefix. Rows only meet the result for their distinct value.
+    ``ref`` has city_id, name, region_name and plz_prefix; it is a reference list, whose names the driver reads to
+    set the threshold. Rows only meet the result for their distinct value.
     """
+    ship(rows.sparkSession)
+    if threshold is None:
+        threshold = least_similarity(r[0] for r in ref.filter(F.length(F.trim("name")) > 0).select("name").distinct().toLocalIterator())
     states = frozenset(w for (r,) in ref.select("region_name").distinct().collect() for fold in (str.lower, spell_out, strip_marks) for w in re.findall(r"[^\W\d_]+", fold(r or "")) if len(w) > 3)
 
     @F.arrow_udf(T.StructType([T.StructField("core", T.StringType()), T.StructField("code", T.StringType()), T.StructField("short", T.BooleanType())]))
@@ -145,8 +176,9 @@ def map_cities(rows: DataFrame, ref: DataFrame, *, threshold: float = THRESHOLD)
         return pa.array(out, pa.list_(pa.struct([("city_id", pa.int32()), ("plz_prefix", pa.string())])))
 
     decided = (
-        pairs.join(entries, "spelling").groupBy("core_key").agg(F.collect_list("entries").alias("found")).select("core_key", closest("core_key", "found").alias("open"))
-    )
+        pairs.join(entries, "spelling").groupBy("core_key").agg(F.collect_list("entries").alias("found"))
+        .select("core_key", closest("core_key", "found").alias("open"))
+    )
     meant = (
         values.withColumn("core_key", F.concat("core", F.when(F.col("short"), F.lit(".")).otherwise("")))
         .join(decided, "core_key", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060\ufeff]")
 _BLANK = re.compile(r"\s+")
@@ -72,12 +73,32 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def near(word: str, words: frozenset[str] | set[str], least: int = 5) -> str | None:
-    """The entry of ``words`` that ``word`` is, or is one edit away from (for words of ``least`` letters or more)."""
-    if word in words:
-        return word
-    if len(word) >= least:
-        for w in words:
-            if len(w) > least - 1 and len(w) > 4 and distance(word, w, 1) <= 1:
-                return w
-    return None
+class Near:
+    """Words, found by any spelling that is an edit or two away: by a shared rest after leaving letters out."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = frozenset(words)
+        self.longest = max(map(len, self.words), default=0)
+        self._rests: tuple[dict[str, list[str]], ...] = ({}, {}, {})
+        for k in (1, 2):
+            for w in sorted(self.words):
+                for r in _rests(w, k):
+                    self._rests[k].setdefault(r, []).append(w)
+
+    def of(self, word: str, most: int) -> list[tuple[int, str]]:
+        """(edits, entry) of the entries within ``most`` edits, which is 1 or 2."""
+        if len(word) > self.longest + most:
+            return []
+        index = self._rests[most]
+        near = {w for r in _rests(word, most) for w in index.get(r, ())}
+        return sorted((d, w) for w in near if (d := distance(word, w, most)) <= most)
+
+    def has(self, word: str, least: int = 0, among: int = 0) -> bool:
+        """Whether ``word`` is an entry or, with ``least`` letters or more, an edit away from one of ``among`` or more."""
+        return word in self.words or (len(word) >= least and any(len(w) >= among for _, w in self.of(word, 1)))
+
+
+def _rests(word: str, most: int) -> set[str]:
+    """The word with up to so many letters left out."""
+    one = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return one if most == 1 else one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}

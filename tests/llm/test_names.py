@@ -86,3 +86,54 @@ def test_employers(spark):
 def test_any_text_is_read(s):
     employers.read_spelling(s, frozenset(["hirschod"]))
     cities.read_value(s, frozenset(["oberland"]))
+
+
+def _pairs(spark, counts, **options):
+    df = spark.createDataFrame([(c,) for c, n in counts.items() for _ in range(n)], "company string")
+    return {(r.company_a, r.company_b) for r in employers.employer_pairs(employers.link_employers(df, ["Hirschöd"], **options)).collect()}
+
+
+def test_two_frequent_employers_one_letter_apart(spark):
+    counts = {"Bäckerei Maier": 1000, "Maier Bäckerei": 4, "Bäckerei Meier": 999, "Meier Bäckerei": 4, "Bäckerei Maierr": 2}
+    got = _pairs(spark, counts)
+    assert got == {("Bäckerei Maier", "Maier Bäckerei"), ("Bäckerei Meier", "Meier Bäckerei"), ("Bäckerei Maier", "Bäckerei Maierr"), ("Bäckerei Maierr", "Maier Bäckerei")}
+
+
+def test_a_line_outside_the_dictionary(spark):
+    names = ["Huber", "Maurer", "Quast", "Lorenz", "Brandl", "Zirngibl", "Ostertag", "Felber", "Wimmer", "Gruber"]
+    counts = {f"Bestattungen {n}": 3 for n in names} | {"Bäckerei Huber": 4, "Huber, Bestattungen": 1, "Josef Maurer Bestattungen": 1, "Bestattugen Quast": 1, "Bestatt. Lorenz": 1}
+    got = _pairs(spark, counts)
+    assert not any("Bäckerei" in a or "Bäckerei" in b for a, b in got)
+    assert {("Bestattungen Huber", "Huber, Bestattungen"), ("Bestattungen Maurer", "Josef Maurer Bestattungen"), ("Bestattugen Quast", "Bestattungen Quast"), ("Bestatt. Lorenz", "Bestattungen Lorenz")} <= got
+    # One alone is too little to learn from, but it is no baker either.
+    assert _pairs(spark, {"Bestattungen Huber": 3, "Bäckerei Huber": 4}) == set()
+
+
+def test_abbreviations_are_weighed_by_the_names(spark):
+    counts = {"Pflegeheim Quast": 3, "Pflegedienst Lorenz": 3, "Pfleg. Quast": 1, "Pfleg. Lorenz": 1, "Pflegd. Lorenz": 1}
+    got = _pairs(spark, counts)
+    assert got == {("Pfleg. Quast", "Pflegeheim Quast"), ("Pfleg. Lorenz", "Pflegedienst Lorenz"), ("Pflegd. Lorenz", "Pflegedienst Lorenz"), ("Pfleg. Lorenz", "Pflegd. Lorenz")}
+
+
+def test_names_of_any_number_and_length(spark):
+    many = ["Adlgas", "Birnstiel", "Czerny", "Dorfner"]
+    slip = ["Xdlgas", "Birnstiel", "Czerny", "Dorfner"]
+    long = [f"{a}{b}berger" for a in "abcdefgh" for b in ("ill", "om", "ust", "ark", "enz", "orf", "ist", "unt")]
+    a, b = "Labor " + " & ".join(many), "Labor " + " & ".join(slip)
+    x, y = "Labor " + " & ".join(long), "Labor " + " & ".join(reversed(long))
+    assert len(long) > 60 and _pairs(spark, {a: 5, b: 1, x: 2, y: 1}) == {tuple(sorted((a, b))), tuple(sorted((x, y)))}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.integers(0, 9), min_size=n, max_size=n), min_size=n, max_size=n)))
+def test_assign(cost):
+    n = len(cost)
+    assert employers.assign(cost) == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_short_entries(spark):
+    ref = spark.createDataFrame([(1, "Kiel", "N", "241"), (2, "Ulm", "S", "890"), (3, "Aue", "O", "082")], "city_id int, name string, region_name string, plz_prefix string")
+    typed = [("Keil", 1), ("Kile", 1), ("Kil", 0), ("Ulm", None), ("Ullm", 2), ("Auue", 3), ("Bonn", 0), ("Kiel" + " (Mitte)" * 100, 1)]
+    df = spark.createDataFrame([("jobs", str(k), c, None) for k, (c, _) in enumerate(typed)], "origin string, row_key string, city string, plz string")
+    got = {int(r.row_key): r.city_id for r in cities.map_cities(df, ref).collect()}
+    assert got == {k: i for k, (_, i) in enumerate(typed) if i is not None}
