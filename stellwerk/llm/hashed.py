@@ -2,7 +2,8 @@
 
 Units (lines, tails of texts) are spans of one byte buffer. Tokens are runs of letters and digits, or of other marks;
 letters lower, digits all alike. Each token gives a unigram and a bigram with what follows; each unit its first token,
-its whole text and classes of its length and of its share of unknown words. All are hashed into one weight table, so
+its whole text and classes of its length and of its share of unknown words; and by the title of its document, which is
+the document's first unit: whether it is the title, and which share of its words the title has. All are hashed into one weight table, so
 the model has one size whatever the corpus; scoring is a handful of array operations per megabyte and no Python per
 unit. Fitting is softmax regression with L2 regularisation by full-batch gradient steps, in numpy, on the labelled
 units that it is given.
@@ -89,8 +90,11 @@ class Units:
     words: np.ndarray  # token hashes, before mixing
 
 
-def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray | None = None) -> Units:
-    """Features of the spans ``starts:ends``, which are in order and do not overlap."""
+def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray | None = None, title: np.ndarray | None = None) -> Units:
+    """Features of the spans ``starts:ends``, which are in order and do not overlap.
+
+    ``title`` is from :func:`title_shares`; without it, the features by the title are those of an unknown title.
+    """
     n = len(buf)
     up, down = _power_tables(n)
     low = _LOWER[buf]
@@ -132,10 +136,26 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarr
         strange = np.where(total >= 3, share, 9).astype(np.uint64)
     else:
         strange = np.full(len(rows), 10, dtype=np.uint64)
-    extra = np.stack([_mix(head * _K3 + _START), _mix(whole * _K4 + _START), _mix((length + _U(1)) * _K5), _mix((strange + _U(99)) * _K3), _mix((strange + _U(99)) * _K3 + length * _K4)], axis=1) >> shift
+    by_title = (title[rows] if title is not None else np.full(len(rows), 15)).astype(np.uint64)
+    extra = np.stack([_mix((by_title + _U(7)) * _K2 + _START), _mix((by_title + _U(7)) * _K2 + length * _K1), _mix(head * _K3 + _START), _mix(whole * _K4 + _START), _mix((length + _U(1)) * _K5), _mix((strange + _U(99)) * _K3), _mix((strange + _U(99)) * _K3 + length * _K4)], axis=1) >> shift
     return Units(rows, first, count, (_mix(words * _K2) >> shift).astype(np.int32), (_mix(words * _K1 + follow * _K4) >> shift).astype(np.int32), extra.astype(np.int32), words)
 
 
+def title_shares(u: Units, doc: np.ndarray) -> np.ndarray:
+    """A class for each unit by its document's title: 14 for the title itself, else the share of its tokens in it, in fifths."""
+    out = np.full(len(doc), 15, dtype=np.int64)
+    if not len(u.rows):
+        return out
+    owner = doc[u.rows]
+    title = np.r_[True, owner[1:] != owner[:-1]]
+    per_token = np.repeat(title, u.count)
+    keys = _mix(u.words * _K2) ^ (np.repeat(owner, u.count).astype(np.uint64) * _K4)
+    inside = np.isin(keys, keys[per_token])
+    share = np.add.reduceat(inside.astype(np.int32), u.first) * 5 // u.count
+    out[u.rows] = np.where(title, 14, share)
+    return out
+
+
 def known_words(units_: Units, doc: np.ndarray, least: int = 2) -> np.ndarray:
     """Bitmap of word hashes that occur in ``least`` documents or more; ``doc`` is each unit's document."""
     spot = (_mix(units_.words ^ _K5) >> _U(44)).astype(np.int64)

@@ -9,8 +9,8 @@ documented number of pages (``SAMPLE_PAGES``), chosen by a hash of their id, and
 *Main body* (:func:`body_lines`): pages interrupt ads, so the lines of a page form runs: the most probable path
 through the states ad and page, with a price for each change, decides each line.
 
-*Residue* (:func:`residue`): a page is reported if a line is residue (an exact check of its placeholder follows), or if
-it has a notice and no line of an ad on the most probable path.
+*Residue* (:func:`residue`): a page is reported if the classifier finds residue in a line (where its odds are near even,
+an exact check of the page's placeholders decides), or if it has a notice and no line of an ad on the most probable path.
 
 Defined results: null, empty and blank texts have no lines of either kind and are no residue; blank lines are never
 reported; texts of any length are read whole; without any pages to learn from nothing is reported; repeated rows give
@@ -31,12 +31,18 @@ from pyspark.sql import types as T
 
 from stellwerk.llm import hashed
 from stellwerk.llm.render import rendered
+from stellwerk.llm.samples import distinct_texts
+from stellwerk.session import cut, ship
 
 AD, PAGE, NOTICE, RESIDUE = range(4)
 #: Pages that the classifier is fitted on, at most.
 SAMPLE_PAGES = 6000
 #: Price of a change between ad and page along a page's lines, in log-odds.
 CHANGE = 0.75
+#: Log-odds above which a line says residue, and below which it does not; between them an exact check decides.
+SURE, DOUBT = 0.5, -4.0
+#: A line of more than twice so many bytes is also scored in parts of about so many.
+PART = 160
 
 # Names of fields that templates have placeholders for.
 FIELDS = "firma firmenname company unternehmen arbeitgeber ort stadt city place location standort name vorname nachname gehalt salary lohn preis price vergütung telefon phone url link plz zip datum date start beginn kontakt contact email e-mail mail ansprechpartner abteilung bereich department benefits stelle stellentitel stellenbezeichnung job job_title jobtitle titel title position aufgaben tasks anrede text adresse address"
@@ -45,13 +51,18 @@ _FIELD = "(?:" + "|".join(map(re.escape, FIELDS.split())) + ")"
 PLACEHOLDER = re.compile(
     r"\{\{\{?\s*[\w.]+\s*\}?\}\}|\{%-?\s*[\w. ]+\s*-?%\}|\$\{\s*[\w.]+\s*\}|%%\w+%%|%\(\w+\)[sd]|@@\w+@@|\[\[\s*[\w. ]+\s*\]\]|<<\s*[\w. ]+\s*>>|__[^\W_]\w*?__|_{5,}|\{\d\}|#[^\W\d]\w*#(?!\w)"
     rf"|\$[A-Za-z]\w+\$?|%{_FIELD}%|\{{{_FIELD}\}}|\[(?:[^\[\]]{{0,20}}\s)?{_FIELD}(?:\s(?:eintragen|einfügen|ergänzen|einsetzen))?\]|\[[^\[\]]{{1,30}}\s(?:eintragen|einfügen|ergänzen|einsetzen)\]|<(?:Name der )?{_FIELD}>|«{_FIELD}»|&lt;{_FIELD}&gt;"
-    r"|(?<!\w)X{4,}(?!\w)|(?<=[:,] )(?:undefined|null|NaN|None)(?!\w)|(?:\ban|\bin|\bbei|\bfür|\bvon|/r) (?:undefined|null)\b|\b(?:undefined|null) (?:in|Kollegen|ab|und mehr|erwartet)\b|^\W*(?:undefined|null)(?: und mehr)?\W*$",
+    # A missing value written out; "null" is a German word, too, which idioms have.
+    r"|(?<!\w)X{4,}(?!\w)|(?<![\w.])(?:undefined|NaN)(?![\w.])|(?<=[:,] )None(?!\w)|(?<![\w.-])null(?![\w.-])(?!\s+(?:Toleranz|Problem|Bock|Fehler|Prozent|Uhr|Grad|auf|bis|Komma)\b)",
     re.I | re.M,
 )
 #: Mentions of the notation, in the running text of an ad.
 _MENTION = re.compile(r"(?:\bwie|\bnamens|\bSyntax|\bAusdrücke\w*|\bsog\w*|\bz\. ?B\.)\s+[„\"'(]*$", re.I)
+# Rows of keys; a word of four keys or more from a row's beginning, or of five anywhere in it, is typed for fun.
+_KEYS = "qwertzuiopü qwertyuiop asdfghjklöä yxcvbnm zxcvbnm".split()
+_TYPED = "|".join(sorted({r[i:j] for r in _KEYS for i in range(len(r)) for j in range(i + (4 if i in (0, 6) else 5), len(r) + 1)}, key=lambda w: (-len(w), w)))
 FILLER = re.compile(
-    r"\b(?:Mustertext|Blindtext|Beispieltext|Platzhaltertext|Fülltext|Dummy ?text)\b(?!e)|\blorem ipsum\b|\bsample text\b|\bbla bla\b|(?:\btest\b\W*){3}|\bTODO\b|\bTBD\b|\b(?:qwer|asdf|qwertz?|jklö?|uiop|yxcv|tztz)\b(?:\W+\w+){0,2}$|^\W*Text folgt\W*$|hier (?:steht demnächst|kommt noch|folgt (?:demnächst|noch))|replace before publishing|bitte nicht veröffentlichen",
+    rf"\b(?:Mustertext|Blindtext|Beispieltext|Platzhaltertext|Fülltext|Dummy ?text)\b(?!e)|\blorem ipsum\b|\bsample text\b|\bbla bla\b|(?:\btest\b\W*){{3}}|\bTODO\b|\bTBD\b|\b(?:{_TYPED})\b(?:\W+\w+){{0,2}}$"
+    r"|^\W*Text folgt\W*$|\bhier (?:steht demnächst|kommt noch|folgt (?:demnächst|noch))|\b(?:before publishing|do not publish|nicht veröffentlichen|vor (?:der )?Veröffentlichung ersetzen)\b",
     re.I | re.M,
 )
 STATUS = re.compile(
@@ -149,16 +160,17 @@ def fit_pages(examples: list[tuple[str, str | None, str | None]], **options: obj
         if (strange and _of_filler(x, strange)) or (labels[k] < 0 and FILLER.search(x)):
             labels[k] = RESIDUE
     every = hashed.units(buf, starts, ends)
+    titles = hashed.title_shares(every, doc)
     keep = labels[every.rows] != RESIDUE
     clean = hashed.Units(every.rows[keep], every.first[keep], every.count[keep], every.uni, every.bi, every.extra[keep], every.words[np.repeat(keep, every.count)])
     known = hashed.known_words(clean, doc)
 
     def refit(steps: int) -> hashed.Model:
         mine = labels >= 0
-        return hashed.fit(hashed.units(buf, starts[mine], ends[mine], known), labels[mine], 4, known, steps=steps, **options)
+        return hashed.fit(hashed.units(buf, starts[mine], ends[mine], known, titles[mine]), labels[mine], 4, known, steps=steps, **options)
 
     first = refit(15)
-    scores = first.score(buf, starts, ends)
+    scores = first.scores(hashed.units(buf, starts, ends, known, titles), len(starts))
     gain = scores[:, AD] - np.maximum(scores[:, PAGE], scores[:, RESIDUE])
     at = 0
     for (_, bare, _), ls in zip(examples, split, strict=True):
@@ -177,28 +189,14 @@ def fit_pages(examples: list[tuple[str, str | None, str | None]], **options: obj
     return refit(45)
 
 
-def take_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, those of the smallest hash of ``key``.
-
-    The rows are counted first, so that each task lets through only what has a chance to be among them: what is
-    gathered stays near ``limit`` however many tasks there are.
-    """
-    n = df.count()
-    mark = F.pmod(F.xxhash64(key), F.lit(1 << 40))
-    if n > 2 * limit:
-        df = df.filter(mark < int((1 << 40) * min(1.0, 1.3 * limit / n)))
-    return df.orderBy(mark, key).limit(limit)
-
-
-def sample_pages(pages: DataFrame, bare: DataFrame, titles: DataFrame, *, key: str = "job_id", text: str = "description", limit: int = SAMPLE_PAGES) -> list[tuple[str, str | None, str | None]]:
-    """At most ``limit`` pages, chosen by a hash of the id, with the longest bare text and the title of the posting."""
-    chosen = take_by_hash(pages.filter(F.length(text) > 0).select(key, F.col(text).alias("page")), key, limit)
+def sample_pages(pages: DataFrame, bare: DataFrame, titles: DataFrame, *, key: str = "job_id", text: str = "description", limit: int = SAMPLE_PAGES) -> DataFrame:
+    """(page, bare, title) of at most ``limit`` distinct pages, with the longest bare text and the title of the posting."""
+    chosen = cut(distinct_texts(pages.select(key, F.col(text).alias("page")), "page", limit, key))
     # The chosen ids are bounded by ``limit``, so sending them to all executors is, too.
-    ids = F.broadcast(chosen.select(key))
+    ids = F.broadcast(chosen.select(key).distinct())
     seen = bare.filter(F.length(text) > 0).join(ids, key, "left_semi").groupBy(key).agg(F.max_by(text, F.struct(F.length(text), F.col(text))).alias("bare"))
     named = titles.join(ids, key, "left_semi").groupBy(key).agg(F.min("title").alias("title"))
-    rows = chosen.join(seen, key, "left").join(named, key, "left").orderBy(F.xxhash64(key), key).select("page", "bare", "title").collect()
-    return [tuple(r) for r in rows]
+    return chosen.join(seen, key, "left").join(named, key, "left").orderBy("mark", "page").select("page", "bare", "title")
 
 
 def _paths(scores: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -221,11 +219,33 @@ def _paths(scores: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the parts of long lines, which end at a blank, and the line of each."""
+    lines = np.flatnonzero(ends - starts > 2 * PART)
+    lo, hi, of = [], [], []
+    for k in lines.tolist():
+        at = int(starts[k])
+        while at < ends[k]:
+            to = int(ends[k])
+            if to - at > PART and len(blank := np.flatnonzero(buf[at + PART : to] == 32)):
+                to = at + PART + int(blank[0]) + 1
+            lo.append(at)
+            hi.append(to)
+            of.append(k)
+            at = to
+    return np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64), np.array(of, dtype=np.int64)
+
+
 def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
-    """Per non-blank line: value, line number, whether in the ad, scores; and per value whether it is residue."""
+    """Per non-blank line: value, line number, whether in the ad, scores; and per value whether it is residue.
+
+    The classifier decides on residue: a line, or a part of a long line, whose odds for residue are above SURE says so.
+    Where its best odds are between DOUBT and SURE, an exact check of the page's placeholders and filler follows.
+    """
     buf, offsets = hashed.text_buffer(texts)
     starts, ends, doc = hashed.lines_of(buf, offsets)
-    u = hashed.units(buf, starts, ends, model.known)
+    plain = hashed.units(buf, starts, ends, model.known)
+    u = hashed.units(buf, starts, ends, model.known, hashed.title_shares(plain, doc))
     scores = model.scores(u, len(starts))[u.rows]
     owner = doc[u.rows]
     first_line = np.searchsorted(doc, np.arange(len(offsets) - 1))
@@ -236,29 +256,29 @@ def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray,
 
     n = len(offsets) - 1
     best = scores.argmax(axis=1) if len(scores) else np.zeros(0, dtype=np.int64)
-    flags = [False] * n
-    suspects = np.flatnonzero((best == RESIDUE) | (scores[:, RESIDUE] > scores[:, AD] - 4)).tolist() if len(owner) else []
-    say = np.zeros(n, dtype=bool)
-    filler = best == RESIDUE
-    strong = filler & (scores[:, RESIDUE] - np.maximum(scores[:, AD], np.maximum(scores[:, PAGE], scores[:, NOTICE])) > 1)
-    say[owner[strong]] = True
+    odds = np.full(n, -np.inf)
+    np.maximum.at(odds, owner, _residue_odds(scores))
+    lo, hi, of = _long_parts(buf, starts, ends)
+    if len(lo):
+        np.maximum.at(odds, doc[of], _residue_odds(model.score(buf, lo, hi)))
+    flags = (odds > SURE).tolist()
     long_ad = np.bincount(owner, weights=in_ad * (best == AD) * (length > 60), minlength=n) if len(owner) else np.zeros(n)
     notices = np.bincount(owner, weights=best == NOTICE, minlength=n) if len(owner) else np.zeros(n)
-    for d in np.flatnonzero((notices > 0) & (long_ad == 0)).tolist():
-        flags[d] = True
-    for d in np.flatnonzero((long_ad == 0) & ~np.array(flags, dtype=bool)).tolist() if n else []:
-        flags[d] = _notice_in_parts(texts[d].as_py() or "", model)
-    for k in suspects:
-        if not flags[owner[k]]:
-            line = buf[starts[u.rows[k]] : ends[u.rows[k]]].tobytes().decode("utf-8", "replace")
-            if FILLER.search(line) or unfilled(line):
-                flags[owner[k]] = True
-    for d in np.flatnonzero(say).tolist():
-        if not flags[d]:
-            flags[d] = _mostly_unknown(texts[d].as_py() or "", model)
+    for d in range(n):
+        if flags[d]:
+            continue
+        if long_ad[d] == 0:
+            flags[d] = bool(notices[d]) or _notice_in_parts(texts[d].as_py() or "", model)
+        if not flags[d] and odds[d] > DOUBT:
+            text = texts[d].as_py() or ""
+            flags[d] = bool(FILLER.search(text)) or unfilled(text)
     return owner, number, in_ad, scores, flags
 
 
+def _residue_odds(scores: np.ndarray) -> np.ndarray:
+    return scores[:, RESIDUE] - np.maximum(scores[:, AD], np.maximum(scores[:, PAGE], scores[:, NOTICE]))
+
+
 _PARTS = re.compile(r"(?<=[.!?])[ \t]+(?=[^\W\da-zäöü])")
 
 
@@ -274,21 +294,9 @@ def _notice_in_parts(text: str, model: hashed.Model) -> bool:
     return bool((best == NOTICE).any() and not ((best == AD) & (length > 30) & (sure > 1)).any())
 
 
-def _mostly_unknown(text: str, model: hashed.Model) -> bool:
-    """Whether some line of four words or more has mostly words that no page of the sample has: invented filler."""
-    for line in text.split("\n"):
-        words = re.findall(r"[^\W\d_]{3,}", line)
-        if len(words) >= 4:
-            buf, off = hashed.text_buffer(pa.array(words))
-            u = hashed.units(buf, off[:-1], off[1:])
-            spot = (hashed._mix(u.words ^ hashed._K5) >> np.uint64(44)).astype(np.int64)
-            if model.known is not None and (~model.known[spot]).mean() > 0.6:
-                return True
-    return False
-
-
 def residue(pages: DataFrame, model: hashed.Model | None, key: str = "job_id", text: str = "description") -> DataFrame:
     """The keys of the pages that are to be excluded."""
+    ship(pages.sparkSession)
     schema = T.StructType([pages.schema[key]])
     name = key
 
@@ -305,6 +313,7 @@ def residue(pages: DataFrame, model: hashed.Model | None, key: str = "job_id", t
 
 def body_lines(pages: DataFrame, model: hashed.Model | None, *, of_ad: bool, key: str = "job_id", text: str = "description") -> DataFrame:
     """(key, line_no) of the non-blank lines that are of the ad, or that are not; pages of residue are left out."""
+    ship(pages.sparkSession)
     schema = T.StructType([pages.schema[key], T.StructField("line_no", T.IntegerType())])
     name = key
 
@@ -322,6 +331,7 @@ def body_lines(pages: DataFrame, model: hashed.Model | None, *, of_ad: bool, key
 
 def bodies(pages: DataFrame, model: hashed.Model | None, *, key: str = "job_id", text: str = "description") -> DataFrame:
     """(key, body): each page rendered, and of its lines only the ad's; pages of residue and empty ones are left out."""
+    ship(pages.sparkSession)
     schema = T.StructType([pages.schema[key], T.StructField("body", T.StringType())])
     name = key
 

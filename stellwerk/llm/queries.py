@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.llm import bpe, cities, employers, mixing, pages, sentences, truncation
+from stellwerk.llm.samples import fitted
 from stellwerk.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +36,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cities.map_cities(jobs.unionByName(raw), table(spark, sf_dir, "ref_cities"))
 
 
-def _page_model(spark: SparkSession, sf_dir: str):
+#: Page models by application and tables: the three queries on pages share one fit.
+_MODELS: dict[tuple[str, str], object] = {}
+
+
+def _page_model(spark: SparkSession, sf_dir: str) -> object:
+    """The classifier of the corpus below ``sf_dir``, fitted once in a session."""
+    ship(spark)
+    corpus = (spark.sparkContext.applicationId, sf_dir)
+    if corpus not in _MODELS:
+        _MODELS[corpus] = _fit_page_model(spark, sf_dir)
+    return _MODELS[corpus]
+
+
+def _fit_page_model(spark: SparkSession, sf_dir: str) -> object:
     descriptions, raw, jobs = table(spark, sf_dir, "job_descriptions"), table(spark, sf_dir, "raw_postings"), table(spark, sf_dir, "jobs")
-    return pages.fit_pages(pages.sample_pages(descriptions.select("job_id", "description"), raw.select("job_id", "description"), jobs.select("job_id", "title")))
+    sample = pages.sample_pages(descriptions.select("job_id", "description"), raw.select("job_id", "description"), jobs.select("job_id", "title"))
+    return fitted(sample, pages.fit_pages)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +80,11 @@ def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     texts = _descriptions(spark, sf_dir)
-    return truncation.find_cut(texts, truncation.fit_ends(truncation.sample_texts(texts), truncation.known_words(texts)), truncation.baselines(texts))
+    known = truncation.known_words(texts)
+    # The words, which are many, go to the task, but need not come back.
+    ends = fitted(truncation.sample_texts(texts), lambda rows: replace(truncation.fit_ends([r[0] for r in rows], known), known=()))
+    ends = replace(ends, known=known)
+    return truncation.find_cut(texts, ends, truncation.baselines(texts))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,7 @@ _EVENT = re.compile(r"(?P<stop>[.!?…。！？।॥؟۔｡]+)|(?P<smile>[:;]-?
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]")
 _LAST = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])[\w\u0300-\u036f\u0900-\u097f’°-]*(?:\.\s?[\w\u0300-\u036f-]+)*$")
 _NUMBER = re.compile(r"(?:^|(?P<lead>[^\W\d_]+\.?|[:,;(：，；、（]|\S)\s*)(?P<n>\d+)$")
+_GAP = re.compile(r"(?<!\.)\s")
 _DATE = re.compile(r"(?<![\d.])\d{1,2}\.\d{1,2}$")
 
 
@@ -86,17 +87,22 @@ class _Trie:
 _NEVER, _MAYBE = _Trie(NEVER), _Trie(MAYBE)
 
 
+#: Lines of less than so many characters are no wrapped text: verses, lists, addresses.
+NARROW = 30
+
+
 def _wrapped(lines: list[str]) -> int:
     """The width at which the lines were wrapped, or 0."""
     width = max(map(len, lines), default=0)
-    if not 30 <= width <= 80:
+    if width < NARROW:
         return 0
     full = 0
     for a, b in zip(lines, lines[1:], strict=False):
         if a and b:
             first = b.split(None, 1)[0] if b.strip() else ""
             room = len(a.rstrip()) + 1 + len(first)
-            if room > width and not MARKER.match(b) and len(a) > width - 25:
+            # Without blanks ("first" is a whole line) any place would do to break, so a full line tells nothing.
+            if room > width and len(first) < NARROW and first[:1] < "\u2e80" and not MARKER.match(b) and len(a) > width - 25:
                 if not re.search(r"[.!?:。！？।؟]\s*$", a) and (b[0].islower() or not b[0].isupper()) or re.search(r"[,;(–]$|[a-zäöüß]$", a.rstrip()) and len(a) > width * 0.75 and not a.rstrip().endswith(")"):
                     full += 1
     return width if full else 0
@@ -279,6 +285,17 @@ def split_block(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         yield begin, hi
 
 
+def _word_before(text: str, begin: int, dot: int) -> re.Match[str] | None:
+    """The word that ends at ``dot``: looked for in a few characters, and in more where it does not begin in them."""
+    size = 40
+    while True:
+        lo = max(begin, dot - size)
+        m = _LAST.search(text, lo, dot)
+        if lo == begin or (m is not None and m.start() > lo) or (m is None and _GAP.search(text, lo, dot)):
+            return m
+        size *= 4
+
+
 def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, spaced: bool) -> bool:
     """Whether the full stop at ``dot`` ends a sentence, ``nxt`` being what follows."""
     if kind == "mark" or dot == begin:
@@ -287,6 +304,7 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
     if before.isdigit():
         if not spaced and kind == "digit":
             return False
+        # The words that matter before a number are short; a longer one is none of them, seen whole or not.
         head = text[max(begin, dot - 40) : dot]
         if _DATE.search(head):
             word = re.search(r"([^\W\d_]+)\s+\d{1,2}\.\d{1,2}$", head)
@@ -310,18 +328,17 @@ def _full_stop(text: str, begin: int, dot: int, nxt: int, hi: int, kind: str, sp
         # Without a blank only an ordinary word before and a word after make an end.
         if kind == "digit" or kind == "lower" or kind == "mark":
             return False
-        word = _LAST.search(text, max(begin, dot - 40), dot)
+        word = _word_before(text, begin, dot)
         tail = text[nxt + 1 : nxt + 2]
         if word and (len(word[0]) < 3 or "." in word[0] or word[0][:1].isupper() and len(word[0]) < 4):
             return False
         if kind == "upper" and tail == ".":
             return False
-    lower = text[max(begin, dot - 24) : dot]
-    if _MAYBE.ends(lower, len(lower), 0):
+    if _MAYBE.ends(text, dot, begin):
         return kind in ("upper", "digit", "nocase")
-    if _NEVER.ends(lower, len(lower), 0):
+    if _NEVER.ends(text, dot, begin):
         return False
-    word = _LAST.search(text, max(begin, dot - 40), dot)
+    word = _word_before(text, begin, dot)
     letters = unicodedata.normalize("NFC", word[0]).rpartition(".")[2].strip() if word else ""
     if letters.lower().endswith("str") and len(letters) > 3:
         return False

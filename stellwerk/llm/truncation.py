@@ -1,9 +1,11 @@
 """Texts cut off by field limits or in transfer, and the share that each source cuts.
 
-Over each whole text runs a stack automaton of brackets and quotation marks; with what it leaves open, broken
-multi-byte sequences, entities and tags at the end, marks of omission, and the source's limits, goes what the end of
-the text says: whether it ends as lines and sentences end, or in the middle. The last is a linear classifier on the
-last tokens. It is fitted at run time on a bounded number of texts (``SAMPLE_TEXTS``, chosen by a hash of the text) that it cuts itself: ends
+Structure decides first: over each whole text runs a stack automaton of brackets, tags and quotation marks, and what it
+leaves open in the last line, wherever that began, is a cut; so are broken multi-byte sequences, entities, escapes and
+tags at the end, and explicit marks of omission. For what these leave open, log-odds are added up: of the source's
+baseline of missing terminators, of its limits, of what is left open in earlier lines (as often as in texts that are
+cut on trial, against whole ends), and of what the end itself says: whether it ends as lines and sentences end, or in
+the middle. The last is a linear classifier on the last tokens. It is fitted at run time on a bounded number of texts (``SAMPLE_TEXTS``, chosen by a hash of the text) that it cuts itself: ends
 of lines and sentences, with or without their full stop, are whole ends, other places are cuts. Which words it takes
 for whole ones is counted over all texts (:func:`known_words`).
 
@@ -11,8 +13,9 @@ A source's baseline is the share of its texts that end without a terminator; its
 bytes, at which a share of its texts ends that chance does not explain (``LIMIT_SHARE``), counted over all distinct
 texts of the source: copies are one text.
 
-Defined results: null, empty and blank texts are not cut; a text that was cut right after a sentence, with nothing
-left open, cannot be told from a whole one and is not reported; texts of any length are read whole; repeated rows
+Defined results: null, empty and blank texts are not cut; a text that was cut right after a sentence, or within a
+number of 16 digits or more (longer than quantities, dates and telephone numbers are; its beginning is such a number,
+too), with nothing left open, cannot be told from a whole one and is not reported; texts of any length are read whole; repeated rows
 give repeated results; extra columns are ignored.
 """
 
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from stellwerk.llm.samples import distinct_texts
+from stellwerk.session import ship
+
 #: Texts that the classifier of ends is fitted on, at most.
 SAMPLE_TEXTS = 6000
 #: Bits of the map of known words: its size is one whatever the corpus.
@@ -43,6 +49,12 @@ HELD_WORDS = 500_000
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 8
 #: Limits within so many characters are one: marks of omission vary a little.
 NEARBY = 4
+#: Log-odds of a cut: for a text of a limit's length, and against it for one that ends with a terminator.
+AT_LIMIT, TERMINATED = 3.0, 1.0
+#: The classifier of ends sees so many tokens, within so many characters, of the last line. The marks that an end is
+#: checked for (of omission, escapes, placeholders) are shorter than MARK characters; brackets and quotations are
+#: followed through the whole text.
+TOKENS, TAIL, MARK = 12, 300, 80
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "<": ">"}
 _MARKS = re.compile(r"[()\[\]{}„“”«»「」『』（）]|<(?=/?[A-Za-z!])|(?<=[A-Za-z\"'/])>")
@@ -55,6 +67,8 @@ _ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\u[0-9a-f]{0,3}$|(?:[^\W\d]|[/=&?#.~+-]|
 _PERCENT_FIELD = re.compile(r"%%\w+%%$|(?<![\w%])%(?![0-9a-fA-F]{2}%)\w+%$")
 _ENTITY = re.compile(r"&(?:a(?:mp?)?|n(?:b(?:sp?)?)?|l(?:t)?|g(?:t)?|q(?:u(?:ot?)?)?|[aou](?:u(?:ml?)?)?|s(?:z(?:l(?:ig?)?)?)?|e(?:u(?:ro?)?)?|#\d{0,5}|#x[0-9a-f]{0,5})$", re.I)
 _TOKEN = re.compile(r"\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b|\d+|[^\W\d_]+|[^\w\s]|_+")
+_LONG = re.compile(r"(?<![^\W_])\d{16,}$")
+_IDENTIFIER = re.compile(r"(?<![^\W_])(?=[^\W_]*\d)[^\W_]{6,}$")
 _END = re.compile(r"[.!?…:;)\]}“”»\"'。！？]$")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?](?=\s+[A-ZÄÖÜ„\"])")
@@ -87,8 +101,8 @@ def _shape(token: str) -> str:
 
 def features(text: str, known: Container[str] | None) -> list[str]:
     """What the end of a text shows: its last tokens, as they are and by kind."""
-    line = text[max(text.rfind("\n"), text.rfind("\r"), len(text) - 300) + 1 :]
-    tokens = [_shape(t) for t in _TOKEN.findall(line)[-12:]]
+    line = text[max(text.rfind("\n"), text.rfind("\r"), len(text) - TAIL) + 1 :]
+    tokens = [_shape(t) for t in _TOKEN.findall(line)[-TOKENS:]]
     if not tokens:
         return ["empty"]
     last = tokens[-1]
@@ -131,7 +145,7 @@ class WordMap:
 def _inner_words(text: str) -> set[str]:
     """The words of a text without its last one, which may be the rest of a word, before a mark of omission too."""
     text = text.rstrip()
-    text = (text[:-80] + _OMISSION.sub("", text[-80:])).rstrip()
+    text = (text[:-MARK] + _OMISSION.sub("", text[-MARK:])).rstrip()
     return set(_WORD.findall(text[: max(0, text.rfind(" "))]))
 
 
@@ -175,11 +189,12 @@ def known_words(texts: DataFrame) -> WordMap:
 
 @dataclass
 class Ends:
-    """Weights of the features of ends, and the words seen in two texts or more."""
+    """Weights of the features of ends, the words seen in two texts or more, and what an opener left open in an earlier line tells."""
 
     weights: dict[str, float]
     bias: float
     known: Container[str]
+    left_open: float = 0.0
 
     def score(self, text: str) -> float:
         """Log-odds of a cut."""
@@ -195,9 +210,20 @@ def fit_ends(texts: list[str], known: Container[str] | None = None, *, cuts: int
         known = frozenset(w for w, n in seen.items() if n >= 2)
     rows: list[list[str]] = []
     labels: list[int] = []
+    # Prefixes that leave something open in an earlier line, of whole ends and of cuts.
+    opened, seen_ends = [1, 1], [2, 2]
+
+    def note(t: str, e: int, label: int) -> None:
+        rows.append(features(t[:e], known))
+        labels.append(label)
+        seen_ends[label] += 1
+        at = max(t.rfind("\n", 0, e), t.rfind("\r", 0, e))
+        stack = open_at_end(t[:e]) if at > 0 else []
+        opened[label] += bool(stack) and stack[-1][1] < at
+
     for t in texts:
         t = t.rstrip()
-        t = t[:-80] + _OMISSION.sub("", t[-80:])
+        t = t[:-MARK] + _OMISSION.sub("", t[-MARK:])
         if len(t) < 30:
             continue
         whole = [m.end() for m in re.finditer(r"[^\s](?=\s*[\n\r])", t)]
@@ -206,16 +232,16 @@ def fit_ends(texts: list[str], known: Container[str] | None = None, *, cuts: int
         if t[-1] in ".!?":
             stops.append(len(t))
         for e in rng.sample(whole, min(ends, len(whole))) + rng.sample(stops, min(ends, len(stops))):
-            rows.append(features(t[:e], known))
-            labels.append(0)
+            note(t, e, 0)
             if t[e - 1] in "." and rng.random() < 0.3:
-                rows.append(features(t[: e - 1], known))
-                labels.append(0)
+                note(t, e - 1, 0)
         for _ in range(cuts):
             e = rng.randrange(15, len(t) - 1) if len(t) > 40 else 20
+            # The beginning of an identifier is one, too: a cut in it cannot be seen, and teaches that whole ones are cut.
+            if t[e].isalnum() and _IDENTIFIER.search(t, max(0, e - TAIL), e):
+                continue
             if e not in at_end and t[:e].rstrip() and len(t[:e].rstrip()) not in at_end:
-                rows.append(features(t[:e], known))
-                labels.append(1)
+                note(t, e, 1)
     if not rows:
         return Ends({}, 0.0, known)
     names = {f: k for k, f in enumerate(dict.fromkeys(f for r in rows for f in r))}
@@ -230,7 +256,8 @@ def fit_ends(texts: list[str], known: Container[str] | None = None, *, cuts: int
         g2 += g * g
         w -= 0.3 * g / np.sqrt(g2)
         b -= err.sum() * 2
-    return Ends({f: float(w[k]) for f, k in names.items() if abs(w[k]) > 0.02}, float(b), known)
+    evidence = math.log(opened[1] / seen_ends[1]) - math.log(opened[0] / seen_ends[0])
+    return Ends({f: float(w[k]) for f, k in names.items() if abs(w[k]) > 0.02}, float(b), known, evidence)
 
 
 @dataclass(frozen=True)
@@ -243,7 +270,7 @@ class Baseline:
 
 
 def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
-    """Whether a text stops before the original did."""
+    """Whether a text stops before the original did: by structure where that tells, else by the odds."""
     if not text or not text.strip():
         return False
     stack = open_at_end(text)
@@ -253,29 +280,28 @@ def is_cut(text: str | None, ends: Ends, base: Baseline) -> bool:
         return True
     if (m := _BROKEN.search(bare)) and ("�" in m[0] or m[0][0] == "<" or (m[0][0] == "&" and _ENTITY.search(bare))):
         return True
-    if _ESCAPE.search(bare[-80:]) and not _PERCENT_FIELD.search(bare[-80:]):
+    if _ESCAPE.search(bare[-MARK:]) and not _PERCENT_FIELD.search(bare[-MARK:]):
         return True
-    m = _OMISSION.search(bare[-80:])
+    m = _OMISSION.search(bare[-MARK:])
     if m and m[0].strip():
         near_limit = any(abs(len(bare) - n) <= NEARBY for n in base.chars)
-        start = max(0, len(bare) - 80) + m.start()
+        start = max(0, len(bare) - MARK) + m.start()
         body = text[:start]
         odds = ends.score(body)
         spaced = text[start : start + 1].isspace()
         return near_limit or bool(stack and stack[-1][1] > bare.rfind("\n") and odds > -2) or odds > (3.0 if spaced else 1.0)
     line = max(bare.rfind("\n"), bare.rfind("\r"))
-    left_open = [x for x in stack if x[1] > line and len(bare) - x[1] < 400]
+    if stack and stack[-1][1] > line:
+        return True
+    if _LONG.search(bare, max(0, len(bare) - MARK)):
+        return False
     odds = ends.score(text if text[-1] not in "\n\r" else bare) + base.prior
+    if stack:
+        odds += ends.left_open
     if at_limit:
-        odds += 3.0
-    if left_open:
-        odds += 3.0
-    last = _TOKEN.findall(bare[-80:])[-1:]
-    if last and last[0].isdigit() and len(last[0]) >= 16 and not left_open:
-        return False
+        odds += AT_LIMIT
     if _END.search(bare) or not bare[-1].isalnum():
-        # A terminator: a cut only if the end is none (abbreviations, numbers), or something is left open.
-        odds -= 1.0
+        odds -= TERMINATED
     return odds > 0
 
 
@@ -312,21 +338,14 @@ def baselines(texts: DataFrame) -> dict[tuple[str, str], Baseline]:
     return out
 
 
-def sample_texts(texts: DataFrame, limit: int = SAMPLE_TEXTS) -> list[str]:
-    """At most ``limit`` distinct texts, those of the smallest hash.
-
-    The distinct texts are estimated first, so that each task lets through only what has a chance to be chosen; copies
-    are made one in each task before anything is sent.
-    """
-    long = texts.filter(F.length("text") > 40).select("text")
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    n = long.agg(F.approx_count_distinct("text", 0.02)).first()[0]
-    some = long.filter(mark < int((1 << 40) * 1.3 * limit / n + 1)) if n > 2 * limit else long
-    return [r[0] for r in some.distinct().orderBy(mark, "text").limit(limit).collect()]
+def sample_texts(texts: DataFrame, limit: int = SAMPLE_TEXTS) -> DataFrame:
+    """(text) of at most ``limit`` distinct texts, those of the smallest hash."""
+    return distinct_texts(texts.filter(F.length("text") > 40), "text", limit).select("text")
 
 
 def find_cut(texts: DataFrame, ends: Ends, base: dict[tuple[str, str], Baseline]) -> DataFrame:
     """(origin, source, row_key, cut) of ``texts`` (origin, source, row_key, text) that are not blank."""
+    ship(texts.sparkSession)
     usual = Baseline(frozenset(), frozenset(), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-
 from stellwerk.llm import hashed, pages, queries, truncation
+from stellwerk.llm.samples import fitted
 
 
 def test_lines_and_words():
@@ -45,6 +45,10 @@ def test_placeholders():
     assert pages.FILLER.search("Mustertext Mustertext") and not pages.FILLER.search("Blindtexte ersetzt du")
 
 
+def texts_of(df):
+    return [r.text for r in df.collect()]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, data):
     read = lambda t: spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet")
@@ -53,12 +57,12 @@ def tables(spark, data):
 
 @pytest.fixture(scope="module")
 def model(tables):
-    return pages.fit_pages(pages.sample_pages(*tables))
+    return fitted(pages.sample_pages(*tables), pages.fit_pages)
 
 
 def test_held_out_lines(tables, model):
     """Pages that the fit has not seen: their lines against the posting's bare text."""
-    rows = pages.sample_pages(*tables)
+    rows = [tuple(r) for r in pages.sample_pages(*tables).collect()]
     train, held = rows[:900], [r for r in rows[900:] if r[1]]
     m = pages.fit_pages(train)
     owner, number, in_ad, _, flags = pages.judge(pa.array([r[0] for r in held]), m)
@@ -69,20 +73,53 @@ def test_held_out_lines(tables, model):
     assert len(ad) > 500 and sum(ad) / len(ad) > 0.95 and sum(page) / len(page) > 0.85
 
 
-def test_unseen_hosts(tables, spark):
-    """Each source held out once: the notices and residue that a phrase tells are found without its pages."""
-    rows = [(r.job_id.split(":")[0], r.description) for r in tables[0].filter("description IS NOT NULL").collect()]
+def test_unseen_hosts(tables):
+    """Each of the sources held out once; residue is what the classifier alone says, without the exact check.
+
+    The labels are not from the phrases that the fit is labelled by: lines of ads of the held-out source in which a word
+    is replaced by a placeholder, in notations that the fit has seen elsewhere, against the same lines as they are.
+    """
     bare = {r.job_id: r.description for r in tables[1].filter("description IS NOT NULL").collect()}
-    full = [(r.job_id, r.description, bare.get(r.job_id)) for r in tables[0].filter("description IS NOT NULL").collect()]
-    hit = total = 0
-    for host in ("BA", "AZ"):
+    full = [(r.job_id, r.description, bare.get(r.job_id)) for r in tables[0].filter("description IS NOT NULL").orderBy("job_id").collect()]
+    rng = random.Random(8)
+    found, kept = [], []
+    for host in sorted({i.split(":")[0] for i, _, _ in full}):
         m = pages.fit_pages([(d, b, None) for i, d, b in full if not i.startswith(host)])
-        mine = [d for h, d in rows if h == host]
-        flags = pages.judge(pa.array(mine), m)[4]
-        sure = [len(d) < 200 and bool(pages.STATUS.search(d)) or pages.unfilled(d) for d in mine]
-        hit += sum(f for f, y in zip(flags, sure, strict=True) if y)
-        total += sum(sure)
-    assert total > 10 and hit / total > 0.9
+        ads = [d for i, d, b in full if i.startswith(host) and b and not pages.FILLER.search(d) and not pages.unfilled(d) and not pages.STATUS.search(d) and not pages.WALL.search(d)][:25]
+        for d in ads:
+            lines = d.split("\n")
+            at = rng.choice([k for k, x in enumerate(lines) if len(x.split()) > 2] or [0])
+            words = lines[at].split(" ")
+            words[rng.randrange(len(words))] = rng.choice(["{{firma}}", "[ORT]", "%%GEHALT%%", "${start}", "__TELEFON__"])
+            changed = "\n".join([*lines[:at], " ".join(words), *lines[at + 1 :]])
+            scores = [pages.judge(pa.array([x]), m)[3] for x in (changed, d)]
+            odds = [float(pages._residue_odds(x).max()) for x in scores]
+            found.append(odds[0] > pages.DOUBT)
+            kept.append(odds[1] <= pages.SURE)
+    assert len(found) > 60 and sum(found) / len(found) > 0.95 and sum(kept) / len(kept) > 0.97
+
+
+def test_a_placeholder_in_a_long_line(model):
+    ad = "Wir suchen dich für unser Team in der Küche und freuen uns auf deine Bewerbung. " * 40
+    line = ad + "Du arbeitest bei {{firma}} in {{ort}}. " + ad
+    assert pages.judge(pa.array([line, ad, "Titel\n" + line]), model)[4] == [True, False, True]
+
+
+def test_copies_do_not_starve_the_sample(spark):
+    df = lambda rows: spark.createDataFrame(rows, "job_id string, description string")
+    rows = [(f"A:{k:05}", "Eine Seite, die oft da ist") for k in range(6000)] + [(f"B:{k:05}", f"Seite {k} mit eigenem Text") for k in range(900)]
+    sample = pages.sample_pages(df(rows), df(rows[:0]), spark.createDataFrame([], "job_id string, title string"), limit=300).collect()
+    assert len(sample) == len({r.page for r in sample}) == 300
+
+
+def test_openers_far_from_the_end():
+    sure = truncation.Ends({}, -50.0, frozenset())
+    usual = truncation.Baseline(frozenset(), frozenset(), 0.0)
+    body = "und so weiter " * 200
+    assert truncation.is_cut("Wir (ein Team " + body + "aus München", sure, usual) and not truncation.is_cut("Wir (ein Team) " + body + "aus München", sure, usual)
+    # In an earlier line an opener is evidence, which is weighed.
+    text = "Wir (ein Team\n" + body
+    assert not truncation.is_cut(text, truncation.Ends({}, -1.0, frozenset(), 0.5), usual) and truncation.is_cut(text, truncation.Ends({}, -1.0, frozenset(), 5.0), usual)
 
 
 def test_tables(spark, tables, model):
@@ -93,7 +130,7 @@ def test_tables(spark, tables, model):
     lines = {(r.job_id, r.line_no) for r in pages.body_lines(df, model, of_ad=False).collect()}
     assert {("f", 0), ("f", 1)} <= lines and not any(j in "abcde" for j, _ in lines) and len([1 for j, _ in lines if j == "f"]) == 2
     assert pages.residue(df.limit(0), model).count() == 0 and pages.body_lines(df, None, of_ad=True).count() == 0
-    assert pages.fit_pages([]) is None and pages.sample_pages(df.limit(0), *[t.limit(0) for t in tables[1:]]) == []
+    assert pages.fit_pages([]) is None and pages.sample_pages(df.limit(0), *[t.limit(0) for t in tables[1:]]).count() == 0
 
 
 ENDS = [("Wir freuen uns auf dich", False), ("Wir freuen uns auf di", True), ("Das steht seit 1977 über der", True), ("Ein Lebenslauf genügt.", False), ("Ein Lebenslauf gen…", True), ("bei der Arb [mehr]", True), ("Wäsche�", True), ("zum 15. des Mona<br", True), ("im Bereich Mes&nbs", True), (None, False), ("", False), ("  ", False)]
@@ -101,7 +138,7 @@ ENDS = [("Wir freuen uns auf dich", False), ("Wir freuen uns auf di", True), ("D
 
 def test_ends(spark, tables):
     texts = tables[1].filter("description IS NOT NULL").selectExpr("'raw' AS origin", "source", "string(posting_no) AS row_key", "description AS text")
-    ends = truncation.fit_ends(truncation.sample_texts(texts))
+    ends = truncation.fit_ends(texts_of(truncation.sample_texts(texts)))
     base = truncation.baselines(texts)
     assert 500 in base["raw", "AZ"].chars and 300 in base["raw", "SS"].chars and 900 in base["raw", "XI"].octets
     usual = truncation.Baseline(frozenset(), frozenset(), 0.0)
@@ -138,7 +175,7 @@ def test_known_words_are_counted_over_all_texts(spark, monkeypatch):
         assert not any(w in known for w in ("Zwirnband", "Kelterh", "Arbo"))
     assert "der" not in truncation.known_words(df.limit(0))
     # A sample of one text knows no word of two texts; the classifier takes the list that it is given.
-    ends = truncation.fit_ends(truncation.sample_texts(df, 1), known)
+    ends = truncation.fit_ends(texts_of(truncation.sample_texts(df, 1)), known)
     assert "Kronwerk" in ends.known and "w=5k" in truncation.features("von Kronwerk", ends.known)
 
 
@@ -147,6 +184,8 @@ def test_query_knows_the_words_of_all_texts(spark, data, monkeypatch):
     seen = []
     monkeypatch.setattr(truncation, "find_cut", lambda texts, ends, base: seen.append(ends) or texts)
     monkeypatch.setattr(truncation.sample_texts, "__defaults__", (20,))
+    # The change of the limit is the driver's, so that the fit is run there, too.
+    monkeypatch.setattr(queries, "fitted", lambda sample, fit: fit([tuple(r) for r in sample.collect()]))
     queries._cuts(spark, data)
     texts = [r.text for r in queries._descriptions(spark, data).select("text").distinct().collect()]
     often = {w for w, n in Counter(w for t in texts for w in truncation._inner_words(t)).items() if n >= 2}
@@ -174,6 +213,6 @@ def test_copies_are_one_text(spark):
     cut = [f"{k:03}" + "a" * 97 for k in range(40)]
     assert 100 in truncation.baselines(df(texts + cut))["o", "s"].chars
     for limit in (50, 500):
-        sample = truncation.sample_texts(df(texts + copies), limit)
-        assert len(sample) == len(set(sample)) == min(limit, 401) and sample == truncation.sample_texts(df([*texts, copies[0]]), limit)
-    assert truncation.sample_texts(df(texts).limit(0)) == []
+        sample = texts_of(truncation.sample_texts(df(texts + copies), limit))
+        assert len(sample) == len(set(sample)) == min(limit, 401) and sorted(sample) == sorted(texts_of(truncation.sample_texts(df([*texts, copies[0]]), limit)))
+    assert truncation.sample_texts(df(texts).limit(0)).count() == 0

@@ -111,3 +111,16 @@ def test_mix(spark):
 
 def test_arrow_slices():
     assert pa.array(["a"]).slice(0, 0).to_pylist() == []
+
+
+@pytest.mark.parametrize("width", [40, 70, 80, 90, 100, 120, 200])
+def test_wrapped_at_any_width(width):
+    sentence = "Wir suchen für unser Team in der Innenstadt ab sofort jemanden, der gern mit Menschen arbeitet, auch am Abend und am Wochenende Zeit hat und sich in einer großen Küche mit vielen Kolleginnen und Kollegen wohl fühlt, denn bei uns geht es rund."
+    text = textwrap.fill(sentence, width)
+    assert "\n" in text and sentences.sentences(text) == [(0, len(text))]
+
+
+def test_long_words_before_a_full_stop():
+    word = "Donau" + "dampf" * 60 + "schiff"
+    text = f"Das ist die {word}. Dann kommt mehr. Siehe {'x' * 200}.str. Neu."
+    assert [text[a:b] for a, b in sentences.sentences(text)][:2] == [f"Das ist die {word}.", "Dann kommt mehr."]
