@@ -11,7 +11,7 @@ units that it is given.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,7 @@ class Units:
     bi: np.ndarray
     extra: np.ndarray  # (units, k) table positions
     words: np.ndarray  # token hashes, before mixing
+    length: np.ndarray  # class of each such unit's length
 
 
 def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray | None = None, title: np.ndarray | None = None) -> Units:
@@ -137,8 +138,26 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarr
     else:
         strange = np.full(len(rows), 10, dtype=np.uint64)
     by_title = (title[rows] if title is not None else np.full(len(rows), 15)).astype(np.uint64)
-    extra = np.stack([_mix((by_title + _U(7)) * _K2 + _START), _mix((by_title + _U(7)) * _K2 + length * _K1), _mix(head * _K3 + _START), _mix(whole * _K4 + _START), _mix((length + _U(1)) * _K5), _mix((strange + _U(99)) * _K3), _mix((strange + _U(99)) * _K3 + length * _K4)], axis=1) >> shift
-    return Units(rows, first, count, (_mix(words * _K2) >> shift).astype(np.int32), (_mix(words * _K1 + follow * _K4) >> shift).astype(np.int32), extra.astype(np.int32), words)
+    extra = np.stack([*_by_title(by_title, length), _mix(head * _K3 + _START), _mix(whole * _K4 + _START), _mix((length + _U(1)) * _K5), _mix((strange + _U(99)) * _K3), _mix((strange + _U(99)) * _K3 + length * _K4)], axis=1) >> shift
+    return Units(rows, first, count, (_mix(words * _K2) >> shift).astype(np.int32), (_mix(words * _K1 + follow * _K4) >> shift).astype(np.int32), extra.astype(np.int32), words, length)
+
+
+def joined(a: Units, b: Units, n: int) -> Units:
+    """The units of ``a``, of which there are ``n`` with and without tokens, and after them those of ``b``."""
+    cat = lambda f: np.concatenate([getattr(a, f), getattr(b, f)])
+    return Units(np.r_[a.rows, b.rows + n], np.r_[a.first, b.first + len(a.uni)], cat("count"), cat("uni"), cat("bi"), cat("extra"), cat("words"), cat("length"))
+
+
+def _by_title(title: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _mix((title + _U(7)) * _K2 + _START), _mix((title + _U(7)) * _K2 + length * _K1)
+
+
+def titled(u: Units, doc: np.ndarray) -> Units:
+    """The units with their features by the title."""
+    extra = u.extra.copy()
+    for k, x in enumerate(_by_title(title_shares(u, doc)[u.rows].astype(np.uint64), u.length)):
+        extra[:, k] = x >> _U(64 - BITS)
+    return replace(u, extra=extra)
 
 
 def title_shares(u: Units, doc: np.ndarray) -> np.ndarray:
@@ -150,7 +169,12 @@ def title_shares(u: Units, doc: np.ndarray) -> np.ndarray:
     title = np.r_[True, owner[1:] != owner[:-1]]
     per_token = np.repeat(title, u.count)
     keys = _mix(u.words * _K2) ^ (np.repeat(owner, u.count).astype(np.uint64) * _K4)
-    inside = np.isin(keys, keys[per_token])
+    # Each title's tokens are marked in a map of bits; it has 64 or more for each, so that few are met by chance.
+    size = 1 << max(16, int(per_token.sum() * 64).bit_length())
+    marked = np.zeros(size, dtype=bool)
+    spot = (keys & _U(size - 1)).astype(np.int64)
+    marked[spot[per_token]] = True
+    inside = marked[spot]
     share = np.add.reduceat(inside.astype(np.int32), u.first) * 5 // u.count
     out[u.rows] = np.where(title, 14, share)
     return out
@@ -182,6 +206,18 @@ class Model:
             out[u.rows] += sums / np.sqrt(2 * u.count + 1)[:, None]
         return out
 
+    def window_odds(self, u: Units, one: int, other: int, size: int) -> np.ndarray:
+        """The greatest log-odds of class ``one`` against ``other`` of any ``size`` tokens in a row, for each of ``u.rows``."""
+        if not len(u.rows):
+            return np.zeros(0, dtype=np.float32)
+        gap = np.ascontiguousarray(self.weights[:, one] - self.weights[:, other])
+        sums = np.concatenate([[0.0], np.cumsum(gap[u.uni] + gap[u.bi], dtype=np.float64)])
+        at = np.arange(len(u.uni))
+        last = np.repeat(u.first + u.count, u.count)
+        to = np.minimum(at + size, last)
+        odds = (sums[to] - sums[at]) / np.sqrt(2 * (to - at) + 1)
+        return np.maximum.reduceat(odds, u.first) + self.bias[one] - self.bias[other]
+
     def score(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.scores(units(buf, starts, ends, self.known), len(starts))
 

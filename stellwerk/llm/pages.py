@@ -19,6 +19,7 @@ repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,10 +40,11 @@ AD, PAGE, NOTICE, RESIDUE = range(4)
 SAMPLE_PAGES = 6000
 #: Price of a change between ad and page along a page's lines, in log-odds.
 CHANGE = 0.75
-#: Log-odds above which a line says residue, and below which it does not; between them an exact check decides.
-SURE, DOUBT = 0.5, -4.0
-#: A line of more than twice so many bytes is also scored in parts of about so many.
-PART = 160
+#: Pairs of a few words of ads, without and with residue, that the classifier is fitted on beside whole lines.
+FEW = 8000
+#: Log-odds above which a line says residue; and above which so many words of it, wherever they stand, are checked
+#: exactly, so that a placeholder is not outvoted by the line around it.
+SURE, DOUBT, WORDS = 2.0, 0.5, 3
 
 # Names of fields that templates have placeholders for.
 FIELDS = "firma firmenname company unternehmen arbeitgeber ort stadt city place location standort name vorname nachname gehalt salary lohn preis price vergütung telefon phone url link plz zip datum date start beginn kontakt contact email e-mail mail ansprechpartner abteilung bereich department benefits stelle stellentitel stellenbezeichnung job job_title jobtitle titel title position aufgaben tasks anrede text adresse address"
@@ -57,11 +59,10 @@ PLACEHOLDER = re.compile(
 )
 #: Mentions of the notation, in the running text of an ad.
 _MENTION = re.compile(r"(?:\bwie|\bnamens|\bSyntax|\bAusdrücke\w*|\bsog\w*|\bz\. ?B\.)\s+[„\"'(]*$", re.I)
-# Rows of keys; a word of four keys or more from a row's beginning, or of five anywhere in it, is typed for fun.
-_KEYS = "qwertzuiopü qwertyuiop asdfghjklöä yxcvbnm zxcvbnm".split()
-_TYPED = "|".join(sorted({r[i:j] for r in _KEYS for i in range(len(r)) for j in range(i + (4 if i in (0, 6) else 5), len(r) + 1)}, key=lambda w: (-len(w), w)))
+# Neighbouring keys, from the beginning of a row or of its right half, as typed for fun.
+_TYPED = "(?:qwer[a-zü]*|asdf[a-zöä]*|yxcv[bnm]*|zxcv[bnm]*|uiop[ü]?|hjkl[öä]*|jklö[ä]?)"
 FILLER = re.compile(
-    rf"\b(?:Mustertext|Blindtext|Beispieltext|Platzhaltertext|Fülltext|Dummy ?text)\b(?!e)|\blorem ipsum\b|\bsample text\b|\bbla bla\b|(?:\btest\b\W*){{3}}|\bTODO\b|\bTBD\b|\b(?:{_TYPED})\b(?:\W+\w+){{0,2}}$"
+    rf"\b(?:Mustertext|Blindtext|Beispieltext|Platzhaltertext|Fülltext|Dummy ?text)\b(?!e)|\blorem ipsum\b|\bsample text\b|\bbla bla\b|(?:\btest\b\W*){{3}}|\bTODO\b|\bTBD\b|\b{_TYPED}\b(?:\W+\w+){{0,2}}$"
     r"|^\W*Text folgt\W*$|\bhier (?:steht demnächst|kommt noch|folgt (?:demnächst|noch))|\b(?:before publishing|do not publish|nicht veröffentlichen|vor (?:der )?Veröffentlichung ersetzen)\b",
     re.I | re.M,
 )
@@ -141,6 +142,25 @@ def _of_filler(line: str, words: frozenset[str]) -> bool:
     return len(found) >= 4 and sum(w in words for w in found) >= 0.6 * len(found)
 
 
+def few_words(lines: list[tuple[str, int]], seed: int = 5) -> list[tuple[str, int]]:
+    """A few words each, labelled: of lines of ads, as they are and with a placeholder or filler put among them.
+
+    What is put in are the placeholders and filler phrases that the labelled lines have. So the classifier learns them
+    apart from the lines that they happen to stand in.
+    """
+    rng = random.Random(seed)
+    seen = sorted({m[0].strip() for x, y in lines if y == RESIDUE for m in (*PLACEHOLDER.finditer(x), *FILLER.finditer(x)) if 0 < len(m[0].strip()) < 60})
+    ads = [w for x, y in lines if y == AD and len(w := x.split()) >= 2 * WORDS]
+    out: list[tuple[str, int]] = []
+    for words in rng.sample(ads, min(len(ads), FEW)) if seen else []:
+        at = rng.randrange(len(words) - WORDS)
+        part = words[at : at + WORDS + 1]
+        out.append((" ".join(part), AD))
+        part[rng.randrange(len(part))] = rng.choice(seen)
+        out.append((" ".join(part), RESIDUE))
+    return out
+
+
 def fit_pages(examples: list[tuple[str, str | None, str | None]], **options: object) -> hashed.Model | None:
     """The line classifier of (page, bare text or None, title or None) examples.
 
@@ -161,16 +181,20 @@ def fit_pages(examples: list[tuple[str, str | None, str | None]], **options: obj
             labels[k] = RESIDUE
     every = hashed.units(buf, starts, ends)
     titles = hashed.title_shares(every, doc)
+    few = few_words([(x, int(y)) for x, y in zip(lines, labels, strict=True)])
+    few_buf, few_at = hashed.text_buffer(pa.array([x for x, _ in few], pa.string()))
+    few_labels = np.array([y for _, y in few], dtype=np.int64)
     keep = labels[every.rows] != RESIDUE
-    clean = hashed.Units(every.rows[keep], every.first[keep], every.count[keep], every.uni, every.bi, every.extra[keep], every.words[np.repeat(keep, every.count)])
+    clean = hashed.Units(every.rows[keep], every.first[keep], every.count[keep], every.uni, every.bi, every.extra[keep], every.words[np.repeat(keep, every.count)], every.length[keep])
     known = hashed.known_words(clean, doc)
 
     def refit(steps: int) -> hashed.Model:
         mine = labels >= 0
-        return hashed.fit(hashed.units(buf, starts[mine], ends[mine], known, titles[mine]), labels[mine], 4, known, steps=steps, **options)
+        both = hashed.joined(hashed.units(buf, starts[mine], ends[mine], known, titles[mine]), hashed.units(few_buf, few_at[:-1], few_at[1:], known), int(mine.sum()))
+        return hashed.fit(both, np.r_[labels[mine], few_labels], 4, known, steps=steps, **options)
 
     first = refit(15)
-    scores = first.scores(hashed.units(buf, starts, ends, known, titles), len(starts))
+    scores = first.scores(hashed.titled(hashed.units(buf, starts, ends, known), doc), len(starts))
     gain = scores[:, AD] - np.maximum(scores[:, PAGE], scores[:, RESIDUE])
     at = 0
     for (_, bare, _), ls in zip(examples, split, strict=True):
@@ -219,33 +243,15 @@ def _paths(scores: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _long_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of the parts of long lines, which end at a blank, and the line of each."""
-    lines = np.flatnonzero(ends - starts > 2 * PART)
-    lo, hi, of = [], [], []
-    for k in lines.tolist():
-        at = int(starts[k])
-        while at < ends[k]:
-            to = int(ends[k])
-            if to - at > PART and len(blank := np.flatnonzero(buf[at + PART : to] == 32)):
-                to = at + PART + int(blank[0]) + 1
-            lo.append(at)
-            hi.append(to)
-            of.append(k)
-            at = to
-    return np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64), np.array(of, dtype=np.int64)
-
-
 def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
     """Per non-blank line: value, line number, whether in the ad, scores; and per value whether it is residue.
 
-    The classifier decides on residue: a line, or a part of a long line, whose odds for residue are above SURE says so.
-    Where its best odds are between DOUBT and SURE, an exact check of the page's placeholders and filler follows.
+    The classifier decides on residue: a line whose odds for residue are above SURE says so. Where a few words of a
+    line have odds for residue above DOUBT, an exact check of its placeholders and filler follows.
     """
     buf, offsets = hashed.text_buffer(texts)
     starts, ends, doc = hashed.lines_of(buf, offsets)
-    plain = hashed.units(buf, starts, ends, model.known)
-    u = hashed.units(buf, starts, ends, model.known, hashed.title_shares(plain, doc))
+    u = hashed.titled(hashed.units(buf, starts, ends, model.known), doc)
     scores = model.scores(u, len(starts))[u.rows]
     owner = doc[u.rows]
     first_line = np.searchsorted(doc, np.arange(len(offsets) - 1))
@@ -258,10 +264,8 @@ def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray,
     best = scores.argmax(axis=1) if len(scores) else np.zeros(0, dtype=np.int64)
     odds = np.full(n, -np.inf)
     np.maximum.at(odds, owner, _residue_odds(scores))
-    lo, hi, of = _long_parts(buf, starts, ends)
-    if len(lo):
-        np.maximum.at(odds, doc[of], _residue_odds(model.score(buf, lo, hi)))
     flags = (odds > SURE).tolist()
+    few = model.window_odds(u, RESIDUE, AD, WORDS)
     long_ad = np.bincount(owner, weights=in_ad * (best == AD) * (length > 60), minlength=n) if len(owner) else np.zeros(n)
     notices = np.bincount(owner, weights=best == NOTICE, minlength=n) if len(owner) else np.zeros(n)
     for d in range(n):
@@ -269,8 +273,12 @@ def judge(texts: pa.Array, model: hashed.Model) -> tuple[np.ndarray, np.ndarray,
             continue
         if long_ad[d] == 0:
             flags[d] = bool(notices[d]) or _notice_in_parts(texts[d].as_py() or "", model)
-        if not flags[d] and odds[d] > DOUBT:
-            text = texts[d].as_py() or ""
+    for k in np.flatnonzero(few > DOUBT).tolist():
+        d = owner[k]
+        if not flags[d]:
+            # With the line below, into which a placeholder may run.
+            to = ends[u.rows[k + 1]] if k + 1 < len(owner) and owner[k + 1] == d else ends[u.rows[k]]
+            text = buf[starts[u.rows[k]] : to].tobytes().decode("utf-8", "replace")
             flags[d] = bool(FILLER.search(text)) or unfilled(text)
     return owner, number, in_ad, scores, flags
 
