@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stellwerk.constants import ANSWER_LISTS, ENGLISH_FIELDS, ENRICHED_CSV, LEVELS, TYPE_FLAGS, TYPE_LABELS
 from stellwerk.functions.text import casefold, content_hash, fingerprint, reads_as_german, squeeze
 from stellwerk.schemas import ANSWER
+from stellwerk.session import cut
 
 
 def needing_answer(jobs: DataFrame, descriptions: DataFrame, enrichment: DataFrame, version: str) -> DataFrame:
@@ -60,21 +61,89 @@ def with_cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(cache.select("key", F.col("answer").alias("cached_answer")), "key", "left")
 
 
+class QuotaSpent(Exception):
+    """What a model answers when it will answer no more."""
+
+
 def ask(misses: DataFrame, model: Callable[[list[str]], list[dict | Exception]], batch: int = 16) -> DataFrame:
-    """(job_id, answer, problem) of questions (job_id, prompt): the model sees small batches, a failure is a row."""
+    """(job_id, answer, problem) of questions (job_id, prompt): the model sees small batches, a failure is a row.
+
+    A batch that fails as a whole is a row of failure each. After :class:`QuotaSpent` a task asks no more: what is left
+    has the problem "quota spent", and is pending again in the next run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent = False
         for b in batches:
             for lo in range(0, b.num_rows, batch):
                 part = b.slice(lo, batch)
-                got = model(part.column(1).to_pylist())
+                try:
+                    got = [QuotaSpent()] * part.num_rows if spent else model(part.column(1).to_pylist())
+                except Exception as e:  # noqa: BLE001
+                    got = [e] * part.num_rows
+                spent = spent or any(isinstance(g, QuotaSpent) for g in got)
                 good = [None if isinstance(g, Exception) else json.dumps(g, ensure_ascii=False, sort_keys=True) for g in got]
-                bad = [str(g) if isinstance(g, Exception) else None for g in got]
+                bad = [("quota spent" if isinstance(g, QuotaSpent) else str(g)) if isinstance(g, Exception) else None for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(good, pa.string()), pa.array(bad, pa.string())], names=["job_id", "answer", "problem"])
 
     return misses.select("job_id", "prompt").mapInArrow(run, "job_id string, answer string, problem string")
 
 
+def enrich(
+    jobs: DataFrame, descriptions: DataFrame, enrichment: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[dict | Exception]],
+    *, version: str, template: str, digest: str, spec: str, provider: str, limit: int | None = None, skip: DataFrame | None = None,
+) -> DataFrame:
+    """One run: (job_id, key, text_hash, answer, problem, cached, unevidenced, provider_used) of the jobs that it took.
+
+    The queue of what needs an answer, its prompts, the cache, the model for what the cache lacks (each question once,
+    however many jobs ask it), the rules on answers, cached ones too, and the check of evidence against the ad: a level
+    without it becomes 'unclear' and is counted. An answer with a problem is not kept; :func:`kept` and
+    :func:`cache_puts` are what a run saves, :func:`failed` what the next one may skip. The answers are materialised,
+    so that no reading of the result asks the model again.
+    """
+    work = queue(needing_answer(jobs, descriptions, enrichment, version), limit, skip)
+    asked = prompts(work, template, digest).withColumn("key", cache_key(version, F.col("prompt"), spec))
+    asked = cut(asked.join(work.select("job_id", "text_hash", "description"), "job_id"))
+    found = with_cached(asked.select("key").distinct(), cache)
+    misses = found.filter("cached_answer IS NULL").join(asked.groupBy("key").agg(F.any_value("prompt").alias("prompt")), "key").select(F.col("key").alias("job_id"), "prompt")
+    said = cut(ask(misses, model)).select(F.col("job_id").alias("key"), "answer", F.col("problem").alias("fault"))
+    told = asked.join(found, "key", "left").join(said, "key", "left").withColumn("cached", F.col("cached_answer").isNotNull()).withColumn("raw", F.coalesce("cached_answer", "answer"))
+    judged = told.withColumn("problem", F.coalesce("fault", answer_problem(F.col("raw")))).withColumn("a", F.from_json("raw", ANSWER))
+    level, evidence = grounded(F.col("a.german_level"), F.col("a.german_evidence"), F.col("description"))
+    sound = F.col("problem").isNull()
+    return judged.select(
+        "job_id", "key", "text_hash", F.when(sound, F.to_json(F.col("a").withField("german_level", level).withField("german_evidence", evidence))).alias("answer"), "problem", "cached",
+        (sound & ~evidence_holds(F.col("a.german_level"), F.col("a.german_evidence"), F.col("description"))).alias("unevidenced"), F.when(sound & ~F.col("cached"), provider).alias("provider_used"),
+    )
+
+
+def kept(run: DataFrame, version: str, now: Column) -> DataFrame:
+    """The rows of answers that a run adds (see :func:`latest_answers`)."""
+    return run.filter("problem IS NULL").select("job_id", F.lit(version).alias("prompt_version"), "answer", now.alias("enriched_at"), F.col("text_hash").alias("content_hash"), "provider_used")
+
+
+def cache_puts(run: DataFrame) -> DataFrame:
+    """(key, answer) that a run adds to the cache: sound answers that the model gave."""
+    return run.filter("problem IS NULL AND NOT cached").groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def cache_after(cache: DataFrame, puts: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """The cache with what was put, a new answer in place of an old one, without the keys that were deleted."""
+    rows = cache.select("key", "answer").join(puts.select("key"), "key", "left_anti").unionByName(puts.select("key", "answer"))
+    return rows if deleted is None else rows.join(deleted.select("key"), "key", "left_anti")
+
+
+def failed(run: DataFrame) -> DataFrame:
+    """(job_id) that a further pass of the same run skips: jobs whose answer failed; a spent quota is no failure."""
+    return run.filter("problem IS NOT NULL AND problem != 'quota spent'").select("job_id")
+
+
+def run_counts(run: DataFrame) -> DataFrame:
+    """How many answers a run kept, how many failed, what it did not come to, and how many levels lacked evidence."""
+    spent = F.coalesce(F.col("problem") == "quota spent", F.lit(False))
+    return run.agg(F.count_if(F.col("problem").isNull()).alias("enriched"), F.count_if(F.col("problem").isNotNull() & ~spent).alias("failed"), F.count_if(spent).alias("remaining"), F.count_if("unevidenced").alias("unevidenced"))
+
+
 def evidence_holds(level: Column, evidence: Column, text: Column) -> Column:
     """Whether the quoted evidence for a level stands in the ad; 'unclear' needs none."""
     flat = lambda c: casefold(squeeze(F.coalesce(c, F.lit(""))))

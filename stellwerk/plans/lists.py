@@ -147,14 +147,6 @@ def q_grounding(spark, sf_dir):
     return _quoted(spark, sf_dir).select("job_id", level.alias("german_level"), evidence.alias("german_evidence"))
 
 
-def q_answer_invalid_reason(spark, sf_dir):
-    return V.answers(spark, sf_dir).select("job_id", E.answer_problem(F.col("answer")).alias("problem"))
-
-
-def q_enriched_csv_row(spark, sf_dir):
-    return E.enriched_rows(V.answers(spark, sf_dir), V.VERSION).select("job_id", "prompt_version", "german_level", "german_evidence", "english_sufficient", "fit_score", "skills_required", "summary_en", "category")
-
-
 def q_enrichment_latest(spark, sf_dir):
     a = V.answers(spark, sf_dir)
     again = a.filter(V.mark(F.col("job_id"), 2) % 2 == 0).withColumn("enriched_at", F.col("enriched_at") + F.make_dt_interval(F.lit(3))).withColumn("provider_used", F.lit("p2"))
@@ -193,8 +185,6 @@ ORACLE |= {
     "q_reads_as_german": f"SELECT job_id, coalesce((SELECT count(DISTINCT w) FROM (SELECT replace(lower(trim(unnest(string_split(trim(regexp_replace(description, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g')), ' ')), '.,;:!?()[]\"''')), 'ß', 'ss') AS w) WHERE w IN ({_WORDS})), 0) >= 3 AS german FROM job_descriptions",
     "q_evidence": f"{_QUOTED_SQL} SELECT job_id, holds FROM v_h",
     "q_grounding": f"{_QUOTED_SQL} SELECT job_id, CASE WHEN holds THEN lvl ELSE 'unclear' END AS german_level, CASE WHEN holds THEN evidence ELSE '' END AS german_evidence FROM v_h",
-    "q_answer_invalid_reason": f"WITH {V.ANSWERS_SQL} SELECT job_id, CASE WHEN json_valid(answer) THEN 'category is missing' ELSE 'not JSON' END AS problem FROM v_answer",
-    "q_enriched_csv_row": f"WITH {V.ANSWERS_SQL} SELECT job_id, prompt_version, {V.json_field('german_level')} AS german_level, {V.json_field('german_evidence')} AS german_evidence, {V.json_field('english_sufficient')} AS english_sufficient, try_cast({V.json_field('fit_score')} AS DOUBLE) AS fit_score, 'a/b|c' AS skills_required, {V.json_field('summary_en')} AS summary_en, '' AS category FROM v_answer WHERE prompt_version = 'v1' AND json_valid(answer)",
     "q_enrichment_latest": f"WITH {V.ANSWERS_SQL} SELECT job_id, prompt_version, CASE WHEN {V.mark_sql('job_id', 2)} % 2 = 0 THEN enriched_at + INTERVAL 3 DAY ELSE enriched_at END AS enriched_at, CASE WHEN {V.mark_sql('job_id', 2)} % 2 = 0 THEN 'p2' ELSE 'p1' END AS provider_used FROM v_answer",
     "q_answer_cache_hits": f"WITH k AS (SELECT job_id, sha1('v1' || chr(31) || sha1(description) || chr(31) || 'spec') AS key FROM job_descriptions WHERE description IS NOT NULL), c AS (SELECT DISTINCT key FROM k WHERE {V.mark_sql('job_id', 2)} % 3 = 0) SELECT k.job_id, c.key IS NOT NULL AS hit FROM k LEFT JOIN c USING (key)",
 }
