@@ -12,6 +12,10 @@ from stellwerk.functions.contact import email, phone, site_root
 from stellwerk.functions.text import nocase
 
 
+# The tags of places that are asked for.
+TAGS = ["amenity=restaurant", "amenity=cafe", "amenity=fast_food", "amenity=bar", "amenity=pub", "shop=bakery", "shop=butcher", "shop=supermarket", "tourism=hotel"]
+
+
 def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -90,7 +94,41 @@ def call_list(contacts: DataFrame, *, cities: list[str] | None = None, pending:
 
 
 def page(rows: DataFrame, number: int, size: int = CONTACTS_PAGE_SIZE) -> DataFrame:
-    return rows.offset((max(1, number) - 1) * size).limit(size)
+    """A page of the rows; a number out of range is the nearest page."""
+    last = max(1, -(-rows.count() // size))
+    return rows.offset((min(max(1, number), last) - 1) * size).limit(size)
+
+
+def scanned(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements of the tag queries (tag, server, element) and the tags that no server answered.
+
+    Of each tag the answer of the first server that gave one counts; an element that several tags have counts once, by
+    the first tag in order.
+    """
+    order = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(TAGS) for x in (t, k)]), F.col("tag"))
+    first = answers.groupBy("tag").agg(F.min("server").alias("server"))
+    used = answers.join(first, ["tag", "server"])
+    fields = [c for c in used.columns if c not in ("type", "id", "tags")]
+    rows = used.groupBy("type", "id").agg(F.min_by(F.struct(*fields, F.to_json("tags").alias("tags_json")), order).alias("e")).select("type", "id", "e.*")
+    rows = rows.withColumn("tags", F.from_json("tags_json", "map<string,string>")).drop("tags_json")
+    return rows, failed_tags(answers.select("tag", "server", F.lit(True).alias("answered")))
+
+
+def failed_tags(asked: DataFrame) -> DataFrame:
+    """(tag) of the requests (tag, server, answered) that no server answered: recorded, and skipped in the run."""
+    return asked.groupBy("tag").agg(F.bool_or("answered").alias("ok")).filter(~F.col("ok")).select("tag")
+
+
+def tag_query(tag: str, lat: float, lon: float, radius_km: float) -> str:
+    """The map server's question for all elements with a tag (``key=value``) around a place."""
+    key, _, value = tag.partition("=")
+    return f'[out:json];nwr(around:{round(radius_km * 1000)},{lat},{lon})["{key}"="{value}"];out center;'
+
+
+def by_city(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(city, places, new_places, kinds) of the places of a run; ``known`` (contact_id) were there before."""
+    seen = found.join(known.select("contact_id", F.lit(True).alias("old")).distinct(), "contact_id", "left")
+    return seen.groupBy("city").agg(F.count("*").alias("places"), F.count_if(F.col("old").isNull()).alias("new_places"), F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def waiting(contacts: DataFrame) -> DataFrame:

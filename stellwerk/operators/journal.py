@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellwerk.constants import COOLDOWN_HOURS, FAILURES_BEFORE_COOLDOWN, STALE_RUN_MINUTES
+from stellwerk.constants import COOLDOWN_HOURS, FAILURES_BEFORE_COOLDOWN, STALE_RUN_MINUTES, STATUSES
 
 OFFLINE = ["getaddrinfo", "name or service not known", "network is unreachable", "no route to host", "temporary failure in name resolution"]
 
@@ -98,7 +98,33 @@ def fresh_requests(requests: DataFrame, cache: DataFrame, now: Column, hours: in
     return requests.join(alive, "cache_key", "left_anti")
 
 
-def experience_years(spans: DataFrame) -> DataFrame:
-    """(person, years): from the earliest start month to the latest end month, in years, rounded half to even."""
-    return spans.groupBy("person").agg(F.bround((F.max("end_month") - F.min("start_month")) / 12, 1).alias("years"))
+def runs_of(events: DataFrame) -> DataFrame:
+    """The journal of runs from its events (run_id, event_id, ts, what, found, new, error).
 
+    ``what`` is 'start', 'progress' or 'finish'. A run started again after it finished is running. Counts are summed
+    over progress; errors are named once each.
+    """
+    at = F.struct("ts", "event_id")
+    is_ = lambda w: F.col("what") == w
+    r = events.groupBy("run_id").agg(
+        F.max(F.when(is_("start"), at)).alias("start"), F.max(F.when(is_("finish"), at)).alias("finish"), F.max(F.when(is_("progress"), F.col("ts"))).alias("last_progress_at"),
+        F.coalesce(F.sum(F.when(is_("progress"), F.col("found"))), F.lit(0)).alias("found_count"), F.coalesce(F.sum(F.when(is_("progress"), F.col("new"))), F.lit(0)).alias("new_count"),
+        F.array_sort(F.collect_set("error")).alias("errors"),
+    )
+    done = F.coalesce(F.col("finish") > F.col("start"), F.col("start").isNull() & F.col("finish").isNotNull())
+    return r.select(
+        "run_id", F.when(done, "done").otherwise("running").alias("state"), F.col("start.ts").alias("started_at"), "last_progress_at", F.when(done, F.col("finish.ts")).alias("finished_at"), "found_count", "new_count", "errors",
+    )
+
+
+def resumable_run(runs: DataFrame, with_pages: DataFrame, newest: int = 20) -> DataFrame:
+    """Of the newest searches the latest that was interrupted and has pages (run_id) to go on from; none or one row."""
+    recent = runs.filter("kind = 'search'").orderBy(F.col("run_id").desc()).limit(newest)
+    return recent.filter("state = 'interrupted'").join(with_pages, "run_id", "left_semi").orderBy(F.col("run_id").desc()).limit(1)
+
+
+def refused_marks(marks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Mark events that are not taken, with the reason: no known status, or no known job."""
+    known = jobs.select("job_id", F.lit(True).alias("known"))
+    bad = F.when(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES), "unknown status").when(F.col("known").isNull(), "unknown job")
+    return marks.join(known, "job_id", "left").withColumn("reason", bad).filter("reason IS NOT NULL").drop("known")

@@ -141,6 +141,11 @@ def pages(total_rows: int, size: int = PAGE_SIZE) -> int:
     return max(1, math.ceil(total_rows / size))
 
 
+def page_count(rows: Column, size: int = PAGE_SIZE) -> Column:
+    """How many pages so many rows fill; at least one."""
+    return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
+
+
 def facet(jobs: DataFrame, column: str) -> DataFrame:
     """The distinct non-null values of a column, in order."""
     return jobs.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

@@ -5,6 +5,8 @@ All of it is small, but expressed as columns over one-row tables of nested struc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def years_of_experience(experience: Column, now: str) -> Column:
 
 
 def top_skill_groups(groups: Column, n: int = 3) -> Column:
-    """Names of the largest skill groups; of groups alike in size the first by name."""
-    ranked = F.array_sort(F.transform(F.map_entries(groups), lambda e: F.struct((-F.size(e["value"])).alias("k"), e["key"].alias("name"))))
+    """Names of the largest skill groups; groups alike in size stay in the order of the resume."""
+    ranked = F.array_sort(F.transform(F.map_entries(groups), lambda e, i: F.struct((-F.size(e["value"])).alias("k"), i.alias("i"), e["key"].alias("name"))))
     return F.transform(F.slice(ranked, 1, n), lambda x: x["name"])
 
 
@@ -52,14 +54,14 @@ def first_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.split_part(F.trim(name), F.lit(" "), F.lit(1)), F.lit("")), F.lit("a student"))
 
 
-def digest(resume: DataFrame) -> DataFrame:
-    """(digest): what a model may see of a resume; name, address and numbers are not among it."""
+def digest(resume: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
+    """(ids, digest): what a model may see of a resume; name, address and numbers are not among it."""
     head = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"# {title}\n"), F.array_join(lines, "\n")))
     skills = F.transform(F.array_sort(F.map_entries("skill_groups")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.array_join(e["value"], ", ")))
     education = F.transform("education", lambda x: F.concat_ws("", F.lit("- "), x["degree"], F.lit(", "), x["school"]))
     work = F.transform("experience", lambda x: F.concat_ws("", F.lit("- "), x["title"], F.lit(" at "), x["company"], F.lit(" ("), x["start"], F.lit(" to "), x["end"], F.lit(")")))
     languages = F.transform("languages", lambda x: F.concat_ws("", F.lit("- "), x["name"], F.lit(": "), x["level"]))
-    return resume.select(F.concat_ws("\n", head("Skills", skills), head("Education", education), head("Experience", work), head("Languages", languages)).alias("digest"))
+    return resume.select(*ids, F.concat_ws("\n", head("Skills", skills), head("Education", education), head("Experience", work), head("Languages", languages)).alias("digest"))
 
 
 def role_keywords(keywords: Column) -> Column:

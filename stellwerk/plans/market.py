@@ -216,8 +216,9 @@ def q_fresh_requests(spark, sf_dir):
 
 
 def q_experience_years(spark, sf_dir):
-    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    return J.experience_years(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), month.alias("start_month"), (month + F.col("o_orderkey") % 30).alias("end_month")))
+    span = F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("start"), F.date_format(F.add_months("o_orderdate", (F.col("o_orderkey") % 30).cast("int")), "yyyy-MM").alias("end"))
+    people = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("person")).agg(F.collect_list(span).alias("experience"))
+    return people.select("person", profile.years_of_experience(F.col("experience"), "2026-08").alias("years"))
 
 
 def q_language_level(spark, sf_dir):

@@ -104,6 +104,11 @@ def with_text(postings: DataFrame, details: DataFrame) -> DataFrame:
     return postings.join(d, "job_id", "left").withColumn("description", F.coalesce(F.nullif("d1", F.lit("")), "d2", "teaser")).drop("d1", "d2")
 
 
+def detail_url(base: Column, reference: Column) -> Column:
+    """Address of an ad at the agency: its reference number in base64."""
+    return F.concat(base, F.lit("/"), F.replace(F.base64(F.encode(reference, "UTF-8")), F.lit("\r\n"), F.lit("")))
+
+
 def agency_queries(cities: list[str], keywords: list[str], types: list[str], radius: int = RADIUS_KM) -> list[dict]:
     """One query per keyword, town and type: types are alternatives, never a stack; a type without filter code is a word."""
     shapes = [(None, WORKING_TIME[t]) if t in WORKING_TIME else (SEARCH_TERMS[t], None) for t in types] or [(None, None)]
