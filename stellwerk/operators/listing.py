@@ -2,8 +2,9 @@
 
 A request is a validated :class:`JobFilters`; :func:`listing` turns it into one lazy plan over three tables. Filters on
 jobs reach the scan, the status and answer tables are joined on their key after their own filters, and a page is a
-top-k (``TakeOrderedAndProject``), whatever the sort. Answers' fields are read from JSON once, in :func:`answers_at`;
-where answers are many, write its result as columns.
+top-k (``TakeOrderedAndProject``), whatever the sort. What filters compare is stored as columns when jobs and answers are
+(:func:`store`): the day of publication, by which the rows are clustered, and the answers' fields; no request parses
+dates or JSON.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.constants import LEVELS, PAGE_SIZE, POSTED_WITHIN, SORTS, STALE_DAYS, STATUSES, TYPE_FLAGS, TYPE_LABELS
+from stellwerk.functions.dates import published_on
 from stellwerk.functions.geo import km_from_home
 from stellwerk.functions.text import level_rank
 
@@ -69,13 +71,26 @@ def describe(filters: JobFilters) -> str:
 
 
 def answers_at(enrichment: DataFrame, version: str) -> DataFrame:
-    """(job_id, german_level, fit_score, summary_en) of the answers at one prompt version; broken JSON gives nulls."""
+    """(job_id, german_level, german_rank, fit_score, summary_en) of the answers at one prompt version; broken JSON gives nulls."""
     field = lambda name: F.get_json_object("answer", f"$.{name}")
     return enrichment.filter(F.col("prompt_version") == version).select(
-        "job_id", field("german_level").alias("german_level"), field("fit_score").try_cast("double").alias("fit_score"), field("summary_en").alias("summary_en")
+        "job_id", field("german_level").alias("german_level"), level_rank(field("german_level")).alias("german_rank"), field("fit_score").try_cast("double").alias("fit_score"), field("summary_en").alias("summary_en")
     )
 
 
+def store(jobs: DataFrame, enrichment: DataFrame, version: str, folder: str) -> str:
+    """Write jobs with ``published_on``, clustered by it, and the answers at a version as columns; returns the folder."""
+    dated = jobs.withColumn("published_on", published_on(F.col("published_at")))
+    dated.repartitionByRange("published_on", "job_id").sortWithinPartitions("published_on").write.mode("overwrite").parquet(f"{folder}/jobs")
+    answers_at(enrichment, version).write.mode("overwrite").parquet(f"{folder}/answers")
+    return folder
+
+
+def stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored jobs and answers."""
+    return spark.read.parquet(f"{folder}/jobs"), spark.read.parquet(f"{folder}/answers")
+
+
 def type_label() -> Column:
     """Flags in fixed order joined by ' / ', else the raw text, else ''."""
     label = F.concat_ws(" / ", *[F.when(F.col(c), F.lit(text)) for c, text in TYPE_LABELS.items()])
@@ -105,7 +120,7 @@ def matching(jobs: DataFrame, status: DataFrame, answers: DataFrame, filters: Jo
     if filters.posted_within is not None:
         jobs = jobs.filter(F.col("published_on") >= F.date_sub(now.cast("date"), filters.posted_within))
     if filters.max_german is not None:
-        answers = answers.filter(level_rank(F.col("german_level")).between(0, LEVELS.index(filters.max_german)))
+        answers = answers.filter(F.col("german_rank").between(0, LEVELS.index(filters.max_german)))
     if filters.min_fit is not None:
         answers = answers.filter(F.col("fit_score") >= filters.min_fit)
     how = "inner" if filters.max_german is not None or filters.min_fit is not None else "left"

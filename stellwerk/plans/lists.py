@@ -30,7 +30,8 @@ BOUNDS = {
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return V.jobs(spark, sf_dir), table(spark, sf_dir, "job_status"), L.answers_at(V.answers(spark, sf_dir), V.VERSION)
+    jobs, answers = V.stored(spark, sf_dir)
+    return jobs, table(spark, sf_dir, "job_status"), answers
 
 
 def _list(filters: L.JobFilters):

@@ -65,8 +65,9 @@ def q_phone(spark, sf_dir):
 
 
 def _markup(spark, sf_dir):
-    body = F.replace(F.replace(F.coalesce("description", F.lit("")), F.lit("&"), F.lit("und")), F.lit("<"), F.lit(""))
-    return table(spark, sf_dir, "job_descriptions").select("job_id", F.concat(F.lit('<div class="a"><script>var x = "1 > 0";</script><style>p {}</style><p>'), body, F.lit("</p></div>")).alias("html"))
+    """Pages with code, styles, tags within words, and entities of all kinds; the description is escaped as a page's text is."""
+    body = F.replace(F.replace(F.coalesce("description", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return table(spark, sf_dir, "job_descriptions").select("job_id", F.concat(F.lit('<div class="a"><script>var x = "1 > 0";</script><style>p {}</style><p>'), body, F.lit("</p><p>&Uuml;ber &euro; 5 &#8211; <b>x</b>y &copy</p></div>")).alias("html"))
 
 
 def q_html_text(spark, sf_dir):
@@ -271,7 +272,7 @@ def q_contact_upsert(spark, sf_dir):
     s = _scored(spark, sf_dir)
     later = s.filter(V.mark(F.col("name"), 3) % 2 == 0).withColumn("phone", F.lit(None).cast("string")).withColumn("kind", F.lit("cafe"))
     both = s.withColumn("run_id", F.lit(1)).unionByName(later.withColumn("run_id", F.lit(2)))
-    return C.upserted(both).select("osm_id", "name", "kind", "phone", "email", "first_run")
+    return C.upserted(both).select("osm_id", "name", "kind", "city", "street", "phone", "email", "website", "lat", "lon", "back_of_house_score", "first_run")
 
 
 def q_contact_outcome(spark, sf_dir):
@@ -286,13 +287,18 @@ def q_radius_join(spark, sf_dir):
     return geo.within_radius(jobs, centres, 25).select("job_id", "centre", F.bround("km", 6).alias("km"))
 
 
+TYPED = ["münchen", "MUENCHEN", "Munchen", "nurnberg", "Würzburg", "wuerzburg", "Bonn", "Neuburg an der Donau"]
+
+
 def q_city_resolve(spark, sf_dir):
-    typed = spark.createDataFrame([(n,) for n in ["münchen", "MUENCHEN", "Munchen", "nurnberg", "Würzburg", "wuerzburg", "Bonn", "Neuburg an der Donau"]], "name string")
-    return P.known_city(typed)
+    """All towns that postings name, and some spellings of towns of the map."""
+    towns = [table(spark, sf_dir, t).select(F.col("city").alias("name")) for t in ("jobs", "raw_postings")]
+    typed = towns[0].unionByName(towns[1]).filter("name IS NOT NULL").unionByName(spark.createDataFrame([(n,) for n in TYPED], "name string"))
+    return P.known_city(typed.distinct())
 
 
 def q_agency_page(spark, sf_dir):
-    return P.agency_postings(table(spark, sf_dir, "jobs_werkstudent_ingolstadt"), ["page_id"]).select("page_id", "entry_no", "job_id", "title", "company", "is_minijob", "is_parttime", "is_fulltime", "is_werkstudent", "published_at", "apply_url")
+    return P.agency_postings(table(spark, sf_dir, "jobs_werkstudent_ingolstadt"), ["page_id"]).select("page_id", "entry_no", "job_id", "title", "company", "city", "plz", "lat", "lon", "employment_type_raw", "homeoffice", "is_internship", "is_minijob", "is_parttime", "is_fulltime", "is_werkstudent", "published_at", "apply_url")
 
 
 def q_board_page(spark, sf_dir):
@@ -320,8 +326,9 @@ _KEY = f"sha1({_identity('title')} || '|' || {_identity('company')} || '|' || {_
 _hash = lambda c: f"CASE WHEN length({_squeeze(c)}) > 0 THEN sha1({c}) END"
 _said = f"{_fold(chr(40) + 'coalesce(title, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(description, ' + chr(39) * 2 + '))')}"
 _SIGNALS = "concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'contains(said, {w!r})' for w in words)} THEN '{k}' END" for k, words in TYPE_WORDS.items()) + ")"
-_MARKUP = "v_html AS (SELECT job_id, '<div class=\"a\"><script>var x = \"1 > 0\";</script><style>p {}</style><p>' || replace(replace(coalesce(description, ''), '&', 'und'), '<', '') || '</p></div>' AS html FROM job_descriptions)"
-_PLAIN = _squeeze("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")
+_MARKUP = "v_html AS (SELECT job_id, '<div class=\"a\"><script>var x = \"1 > 0\";</script><style>p {}</style><p>' || replace(replace(coalesce(description, ''), '&', '&amp;'), '<', '&lt;') || '</p><p>&Uuml;ber &euro; 5 &#8211; <b>x</b>y &copy</p></div>' AS html FROM job_descriptions)"
+# What a reader sees of these pages is the description and the fixed line: no markup is parsed here.
+_PLAIN = _squeeze("(coalesce(description, '') || ' Über € 5 – x y ©')")
 _LOGIN = " OR ".join(f"contains(lower(page), '{w}')" for w in LOGIN_WORDS)
 _OWN = lambda c: "NOT (" + " OR ".join([f"contains(lower({c}), '{w}')" for w in FOREIGN_MAIL] + [f"suffix(lower({c}), '{e}')" for e in FILE_ENDINGS]) + f") AND regexp_matches({c}, '@[^@]*\\.[^@]*$')"
 _PHONE = r"""v_kept AS (SELECT *, regexp_replace(regexp_replace(regexp_split_to_array(raw, '[;,]|\bor\b|\boder\b')[1], '\(.*?\)', ' ', 'g'), '[^\d+]', '', 'g') AS kept FROM v_raw),
@@ -351,6 +358,7 @@ _CITY_VALUES = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, (a, b) in C
 _KM = "2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - centre_lat) / 2), 2) + cos(radians(centre_lat)) * cos(radians(lat)) * pow(sin(radians(lon - centre_lon) / 2), 2)))"
 _VARIANTS = lambda c: f"list_distinct([lower({c}), {_spell(f'lower({c})')}, translate(lower({c}), 'üöäß', 'uoas')])"
 _E = lambda p: f"json_extract_string(e, '$.{p}')"
+_PART = "(" + " OR ".join(f"coalesce({_E('arbeitszeitTeilzeit' + x)} = 'true', false)" for x in ("Abend", "Nachmittag", "Vormittag", "Flexibel")) + ")"
 
 ORACLE = {
     "q_dedupe_key": f"SELECT job_id, {_KEY} AS key FROM jobs",
@@ -362,9 +370,10 @@ ORACLE = {
     "q_german_date": "SELECT job_id, CASE WHEN regexp_matches(description, '\\d{2}\\.\\d{2}\\.\\d{4}') THEN regexp_replace(regexp_extract(description, '\\d{2}\\.\\d{2}\\.\\d{4}'), '(\\d{2})\\.(\\d{2})\\.(\\d{4})', '\\3-\\2-\\1') END AS iso FROM job_descriptions",
     "q_city_plz": f"SELECT job_id, nullif(regexp_extract(t, '^(\\d{{5}})\\s+', 1), '') AS plz, nullif(regexp_replace(t, '^\\d{{5}}\\s+', ''), '') AS city FROM (SELECT job_id, {_squeeze(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', plz, city)')} AS t FROM jobs)",
     "q_phone": f"WITH v_raw AS (SELECT c_custkey, list_extract(['+49 8431 2' || lpad(k, 5, '0'), '08431/' || lpad(k, 6, '0'), '004984312' || k, k, '+49 8431 ' || lpad(k, 4, '0') || ' (Küche 2)', '0841 ' || lpad(k, 5, '0') || '; 08431 1', '0841 ' || lpad(k, 5, '0') || ' oder 1', ''], c_custkey % 8 + 1) AS raw FROM (SELECT c_custkey, c_custkey::VARCHAR AS k FROM customer)), {_PHONE} SELECT c_custkey, raw, CASE WHEN regexp_matches(f, '^\\+\\d{{9,14}}$') THEN f END AS phone FROM v_full",
-    "q_html_text": f"WITH {_MARKUP} SELECT job_id, {_PLAIN} AS text FROM v_html",
-    "q_readable_gate": f"WITH {_MARKUP} SELECT job_id, length({_PLAIN}) >= 80 AS readable FROM v_html",
+    "q_html_text": f"SELECT job_id, {_PLAIN} AS text FROM job_descriptions",
+    "q_readable_gate": f"SELECT job_id, length({_PLAIN}) >= 80 AS readable FROM job_descriptions",
     "q_login_wall": f"WITH {_MARKUP} SELECT job_id, ({_LOGIN}) OR regexp_matches(page, '(?i)<form[^>]+action=[\"''][^\"'']*login') AS wall FROM (SELECT job_id, CASE WHEN {V.mark_sql('job_id', 0)} % 7 = 0 THEN html || '<form method=post action=''/Login''>' WHEN {V.mark_sql('job_id', 0)} % 11 = 0 THEN html || 'Bitte melde dich an.' ELSE html END AS page FROM v_html)",
+    "q_jsonld": "SELECT job_id, title, company, city FROM jobs",
     "q_email": f"WITH {_MARKUP} SELECT job_id, CASE WHEN {V.mark_sql('job_id', 0)} % 5 = 0 THEN 'chef@laden.example' ELSE lower(list_extract(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(replace(html, '@', ' (at) '), '(?i)\\s*[\\[(]\\s*(?:at|ät)\\s*[\\])]\\s*', '@', 'g'), '(?i)\\s*[\\[(]\\s*(?:dot|punkt)\\s*[\\])]\\s*', '.', 'g'), '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+'), lambda a: regexp_replace(a, '\\.+$', '')), lambda x: {_OWN('x')}), 1)) END AS email FROM v_html",
     "q_upsert_merge": _MERGED,
     "q_stream_upsert": _MERGED,
@@ -394,11 +403,11 @@ ORACLE = {
     "q_contact_counts": f"WITH {_SCORED} SELECT count(*) AS total, count(*) FILTER (coalesce(phone, email) IS NOT NULL) AS reachable, count(*) FILTER (outcome IS NULL) AS pending FROM v_s",
     "q_contacts_waiting": f"WITH {_SCORED} SELECT osm_id FROM v_s WHERE phone IS NULL AND email IS NULL AND website IS NOT NULL",
     "q_template_fill": f"WITH {_SCORED} SELECT osm_id, kind, replace(replace(template, '{{place}}', name), '{{city}}', city) AS script FROM v_s JOIN (VALUES {', '.join(f'({k!r}, {t!r})' for k, t in TEMPLATES)}) t(kind, template) USING (kind)",
-    "q_contact_upsert": f"WITH {_SCORED} SELECT osm_id, name, CASE WHEN {V.mark_sql('name', 3)} % 2 = 0 THEN 'cafe' ELSE kind END AS kind, phone, email, 1 AS first_run FROM v_s",
+    "q_contact_upsert": f"WITH {_SCORED} SELECT osm_id, name, CASE WHEN {V.mark_sql('name', 3)} % 2 = 0 THEN 'cafe' ELSE kind END AS kind, city, street, phone, email, website, lat, lon, back_of_house_score, 1 AS first_run FROM v_s",
     "q_contact_outcome": "SELECT osm_id, arg_max(outcome, (ts, event_id)) AS outcome, min(ts) FILTER (outcome != 'no') AS last_contacted_at FROM (SELECT user_id AS osm_id, event_id, ts, CASE event_type WHEN 'view' THEN 'no' WHEN 'click' THEN 'emailed' WHEN 'purchase' THEN 'visited' ELSE 'called' END AS outcome FROM events) GROUP BY osm_id",
     "q_radius_join": f"SELECT job_id, centre, round_even({_KM}, 6) AS km FROM jobs, (VALUES {_CITY_VALUES}) c(centre, centre_lat, centre_lon) WHERE {_KM} <= 25",
-    "q_city_resolve": f"SELECT name, min(city) AS city, min(lat) AS lat, min(lon) AS lon FROM (VALUES ('münchen'), ('MUENCHEN'), ('Munchen'), ('nurnberg'), ('Würzburg'), ('wuerzburg'), ('Bonn'), ('Neuburg an der Donau')) n(name), (VALUES {_CITY_VALUES}) c(city, lat, lon) WHERE list_has_any({_VARIANTS('name')}, {_VARIANTS('city')}) GROUP BY name",
-    "q_agency_page": f"WITH v_p AS (SELECT page_id, json_extract(payload, '$.ergebnisliste[*]') AS es FROM jobs_werkstudent_ingolstadt WHERE json_valid(payload)), v_e AS (SELECT page_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS entry_no FROM v_p) SELECT page_id, entry_no::INT AS entry_no, 'BA:' || {_E('referenznummer')} AS job_id, coalesce({_E('stellenangebotsTitel')}, '') AS title, {_E('firma')} AS company, coalesce({_E('istGeringfuegigeBeschaeftigung')} = 'true', false) AS is_minijob, coalesce({_E('arbeitszeitTeilzeitAbend')} = 'true', false) OR coalesce({_E('arbeitszeitTeilzeitNachmittag')} = 'true', false) OR coalesce({_E('arbeitszeitTeilzeitVormittag')} = 'true', false) OR coalesce({_E('arbeitszeitTeilzeitFlexibel')} = 'true', false) AS is_parttime, coalesce({_E('arbeitszeitVollzeit')} = 'true', false) AS is_fulltime, contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'werkstudent') OR contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'studentische hilfskraft') OR contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'hiw') AS is_werkstudent, coalesce({_E('veroeffentlichungszeitraum.von')}, {_E('datumErsteVeroeffentlichung')}) AS published_at, {_E('externeURL')} AS apply_url FROM v_e WHERE length({_E('referenznummer')}) > 0",
+    "q_city_resolve": f"SELECT name, min(c.city) AS city, min(lat) AS lat, min(lon) AS lon FROM (SELECT city AS name FROM jobs WHERE city IS NOT NULL UNION SELECT city FROM raw_postings WHERE city IS NOT NULL UNION SELECT * FROM (VALUES {', '.join(f'({n!r})' for n in TYPED)})) n(name), (VALUES {_CITY_VALUES}) c(city, lat, lon) WHERE list_has_any({_VARIANTS('name')}, {_VARIANTS('c.city')}) GROUP BY name",
+    "q_agency_page": f"WITH v_p AS (SELECT page_id, json_extract(payload, '$.ergebnisliste[*]') AS es FROM jobs_werkstudent_ingolstadt WHERE json_valid(payload)), v_e AS (SELECT page_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS entry_no FROM v_p) SELECT page_id, entry_no::INT AS entry_no, 'BA:' || {_E('referenznummer')} AS job_id, coalesce({_E('stellenangebotsTitel')}, '') AS title, {_E('firma')} AS company, json_extract_string(pl, '$.adresse.ort') AS city, json_extract_string(pl, '$.adresse.plz') AS plz, try_cast(json_extract_string(pl, '$.breite') AS DOUBLE) AS lat, try_cast(json_extract_string(pl, '$.laenge') AS DOUBLE) AS lon, nullif(concat_ws(', ', CASE WHEN {_E('arbeitszeitVollzeit')} = 'true' THEN 'Vollzeit' END, CASE WHEN {_PART} THEN 'Teilzeit' END, CASE WHEN {_E('istGeringfuegigeBeschaeftigung')} = 'true' THEN 'Geringfügig' END), '') AS employment_type_raw, coalesce({_E('homeofficemoeglich')} = 'true', false) AS homeoffice, contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'praktikum') OR contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'internship') AS is_internship, coalesce({_E('istGeringfuegigeBeschaeftigung')} = 'true', false) AS is_minijob, {_PART} AS is_parttime, coalesce({_E('arbeitszeitVollzeit')} = 'true', false) AS is_fulltime, contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'werkstudent') OR contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'studentische hilfskraft') OR contains(lower(coalesce({_E('stellenangebotsTitel')}, '')), 'hiw') AS is_werkstudent, coalesce({_E('veroeffentlichungszeitraum.von')}, {_E('datumErsteVeroeffentlichung')}) AS published_at, {_E('externeURL')} AS apply_url FROM (SELECT *, coalesce(CASE WHEN json_type(e, '$.stellenlokationen[0]') != 'NULL' THEN json_extract(e, '$.stellenlokationen[0]') END, CASE WHEN json_type(e, '$.stellenlokationen') = 'OBJECT' THEN json_extract(e, '$.stellenlokationen') END) AS pl FROM v_e) WHERE length({_E('referenznummer')}) > 0",
     "q_board_page": "SELECT job_id, title, company, city, (contains(t, 'minijob') OR contains(t, '450 €') OR contains(t, '520 €') OR contains(t, 'geringfügig') OR contains(t, 'geringfuegig') OR contains(t, 'aushilfe')) AS is_minijob, NOT is_fulltime OR contains(t, 'werkstudent') OR contains(t, 'studentische hilfskraft') AS is_werkstudent, is_fulltime OR contains(t, 'vollzeit') AS is_fulltime, coalesce(homeoffice, false) AS homeoffice FROM (SELECT *, lower(coalesce(title, '')) AS t FROM raw_postings WHERE source = 'AN')",
     "q_aggregator_page": f"SELECT job_id, title, company, CASE WHEN lower(city) = 'zwiesau' THEN 'Zwiesau' WHEN coalesce(city, '') = '' THEN 'Ortsteil' ELSE city END AS city, lat, contains(',' || types || ',', ',minijob,') AS is_minijob, contains(',' || types || ',', ',parttime,') AS is_parttime FROM (SELECT *, {_SIGNALS} AS types FROM (SELECT *, {_said} AS said FROM raw_postings WHERE source = 'AZ'))",
 }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stellwerk.constants import KIND_SCORES, LEVELS
 from stellwerk.functions.dates import published_on
-from stellwerk.session import table
+from stellwerk.operators import listing as L
+from stellwerk.session import new_folder, table
 
 NOW = "2026-08-10 00:00:00"
 VERSION = "v1"
@@ -44,6 +45,18 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "jobs").withColumn("published_on", published_on(F.col("published_at")))
 
 
+#: Folders of stored lists by application and tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs and answers as the list reads them, stored once in a session (see :func:`listing.store`)."""
+    corpus = (spark.sparkContext.applicationId, sf_dir)
+    if corpus not in _STORED:
+        _STORED[corpus] = L.store(table(spark, sf_dir, "jobs"), answers(spark, sf_dir), VERSION, new_folder(spark, "list"))
+    return L.stored(spark, _STORED[corpus])
+
+
 def _iso(k: int, col: str) -> str:
     pattern = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
     return f"regexp_extract(trim({col}), '{pattern}', {k})"
