@@ -90,3 +90,52 @@ def outcomes(arrivals: DataFrame, seq: str = "seq", carry: Sequence[str] = ()) -
     made = F.when((F.col("job_id") == F.col("row_id")) & (F.col(seq) == F.col("first_seq")), "new").otherwise("duplicate")
     ids = placed(arrivals, seq).select("job_id", "row_id", "first_seq")
     return arrivals.select(seq, "job_id", *carry).join(ids, "job_id").select(seq, "job_id", "row_id", made.alias("outcome"), *carry)
+
+
+FIRST = ["key", "source", "title", "company", "city", "description", "apply_url"]
+
+
+def summaries(arrivals: DataFrame, seq: str = "seq") -> DataFrame:
+    """A row per id that the rule needs no arrival beside: its first arrival, and its first text and address with their numbers.
+
+    Summaries of parts of the arrivals make those of all by :func:`combined`.
+    """
+    has_url = F.coalesce(F.col("apply_url") != "", F.lit(False))
+    text_at, url_at = F.when(non_blank(F.col("description")), F.col(seq)), F.when(has_url, F.col(seq))
+    keys = arrivals.withColumn("key", dedupe_key(F.col("title"), F.col("company"), F.col("city")))
+    return keys.groupBy("job_id").agg(
+        *[F.min_by(c, seq).alias(c) for c in FIRST], F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"),
+        F.min_by("description", text_at).alias("text"), F.min(text_at).alias("text_seq"), F.min_by("apply_url", url_at).alias("url"), F.min(url_at).alias("url_seq"),
+    )
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """One summary per id of several."""
+    return parts.groupBy("job_id").agg(
+        *[F.min_by(c, "first_seq").alias(c) for c in FIRST], F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        F.min_by("text", "text_seq").alias("text"), F.min("text_seq").alias("text_seq"), F.min_by("url", "url_seq").alias("url"), F.min("url_seq").alias("url_seq"),
+    )
+
+
+def merged(ids: DataFrame) -> DataFrame:
+    """The stored jobs, as :func:`merge` has them, of summaries that are whole for each of their identities."""
+    owners = ids.groupBy("key").agg(F.min_by("source", "first_seq").alias("owner"), F.min_by("job_id", "first_seq").alias("target"))
+    rows = ids.join(owners, "key").withColumn("row_id", F.when(F.col("source") == F.col("owner"), F.col("job_id")).otherwise(F.col("target")))
+    own = F.col("job_id") == F.col("row_id")
+    mine = lambda c: F.max(F.when(own, F.col(c)))
+    others = (
+        rows.filter(~own).groupBy("row_id", "source").agg(F.min("first_seq").alias("s"))
+        .groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]), ",").alias("also_seen_on"))
+    )
+    got = rows.groupBy("row_id").agg(
+        F.any_value("key").alias("dedupe_key"), *[mine(c).alias(c) for c in ("source", "title", "company", "city", "first_seq")], mine("description").alias("own_text"), mine("apply_url").alias("own_url"),
+        F.min_by("text", F.when(~own, F.col("text_seq"))).alias("other_text"), F.min_by("url", F.when(~own, F.col("url_seq"))).alias("other_url"), F.max("last_seq").alias("last_seq"),
+    )
+    text = F.when(non_blank(F.col("own_text")), F.col("own_text")).otherwise(F.coalesce("other_text", "own_text"))
+    return (
+        got.join(others, "row_id", "left").withColumn("description", text)
+        .select(
+            F.col("row_id").alias("job_id"), "source", "dedupe_key", "title", "company", "city", "description", content_hash(F.col("description")).alias("content_hash"),
+            F.when(F.col("own_url") != "", F.col("own_url")).otherwise(F.coalesce("other_url", "own_url")).alias("apply_url"), "also_seen_on", "first_seq", "last_seq",
+        )
+    )

@@ -1,7 +1,8 @@
 """Files for people: CSV with a byte-order mark, replaced in one step; appends; rotated copies.
 
-Spark writes one part; the driver prefixes the mark and renames. Large exports are written as Parquet by the plan that
-makes them and need none of this.
+Spark sorts and writes the parts, in order; the driver strings them together piece by piece, whatever their size, and
+renames. The target is a file of the machine where the user is; large exports for other programs are written as Parquet
+by the plan that makes them and need none of this.
 """
 
 from __future__ import annotations
@@ -17,28 +18,33 @@ from pyspark.sql import DataFrame
 BOM = b"\xef\xbb\xbf"
 
 
-def _one_file(df: DataFrame, columns: Sequence[str], order: Sequence[str], folder: Path) -> Path:
+def _parts(df: DataFrame, columns: Sequence[str], order: Sequence[str], folder: Path) -> list[Path]:
     rows = df.select(*columns).orderBy(*order) if order else df.select(*columns)
     stamp = "yyyy-MM-dd HH:mm:ss"
-    rows.coalesce(1).write.options(header=False, nullValue="", emptyValue="", escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv(str(folder / "part"))
-    return next((folder / "part").glob("part-*.csv"), folder / "none")
+    rows.write.options(header=False, nullValue="", emptyValue="", escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv(str(folder / "parts"))
+    return sorted((folder / "parts").glob("part-*.csv"))
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str] = (), append: bool = False) -> int:
     """Write or append; the header and the mark stand once, at the start. Returns the number of lines written."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
+    lines = 0
     with tempfile.TemporaryDirectory(dir=target.parent) as scratch:
-        part = _one_file(df, columns, order, Path(scratch))
-        body = part.read_bytes() if part.exists() else b""
-        if append and target.exists():
-            with target.open("ab") as f:
-                f.write(body)
-        else:
-            whole = Path(scratch) / "whole"
-            whole.write_bytes(BOM + (",".join(columns) + "\n").encode() + body)
+        parts = _parts(df, columns, order, Path(scratch))
+        add = append and target.exists()
+        whole = Path(scratch) / "whole"
+        with target.open("ab") if add else whole.open("wb") as out:
+            if not add:
+                out.write(BOM + (",".join(columns) + "\n").encode())
+            for part in parts:
+                with part.open("rb") as f:
+                    while piece := f.read(1 << 20):
+                        lines += piece.count(b"\n")
+                        out.write(piece)
+        if not add:
             os.replace(whole, target)
-    return body.count(b"\n")
+    return lines
 
 
 def back_up(files: Sequence[str], folder: str, stamp: str, keep: int = 5) -> list[str]:

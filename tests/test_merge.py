@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stellwerk.operators.merge import also_seen_on, merge, outcomes
 from stellwerk.streaming.ingest import ARRIVAL, Companion, StreamingMerge, stream_of
@@ -92,9 +93,38 @@ def test_companion_asks_once(spark, tmp_path):
     assert len(got) == 6 and {r.problem for r in got} == {None, "no"}
 
 
+def test_companion_keeps_what_the_rules_allow(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "A", "t", "c", "o", "good", None), (2, "b", "A", "t", "c", "o", "bad", None)], SCHEMA)
+    df.write.parquet(str(tmp_path / "in"))
+    rules = lambda answer: F.when(F.get_json_object(answer, "$.n") < 4, "too short")
+    companion = Companion(spark, str(tmp_path / "state"), lambda prompts: [{"n": len(p)} for p in prompts], rules)
+    companion.run(stream_of(spark, str(tmp_path / "in"), df, files=1))
+    assert {(r.job_id, r.answer, r.problem) for r in companion.answers().collect()} == {("a", '{"n": 4}', None), ("b", None, "too short")}
+
+
 def test_arrivals_are_read_twice_at_most(spark, tmp_path):
     spark.createDataFrame(made_up(1), SCHEMA).write.parquet(f"{tmp_path}/a")
     for made in (outcomes, merge):
         plan = made(spark.read.parquet(f"{tmp_path}/a"))._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
         # One more scan is behind the materialised ids.
         assert plan.count("FileScan parquet") == 1
+
+
+def test_a_batch_writes_the_buckets_that_it_touches(spark, tmp_path):
+    state = StreamingMerge(spark, str(tmp_path), buckets=32)
+    first = [(k, f"A:{k}", "A", f"t{k}", "c", "o", "text " * 20, None) for k in range(300)]
+    state.apply(spark.createDataFrame(first, SCHEMA), 0)
+    # One known id seen again, and one new id of another source with a known identity.
+    later = [(300, "A:5", "A", "t5", "c", "o", "x", None), (301, "B:1", "B", "t7", "c", "o", "y", "u")]
+    state.apply(spark.createDataFrame(later, SCHEMA), 1)
+    assert all(len([n for n in state.names(f"{tmp_path}/{t}/batch=00000001") if n.startswith("bucket=")]) <= 2 for t in state.TABLES)
+    want = stored(merge(spark.createDataFrame(first + later, SCHEMA)))
+    assert stored(state.jobs()) == want
+    # Run again, a batch changes nothing; an earlier number that comes late may move an id to another identity.
+    state.apply(spark.createDataFrame(later, SCHEMA), 1)
+    assert stored(state.jobs()) == want
+    late = [(-1, "A:9", "A", "t7", "c", "o", None, None)]
+    state.apply(spark.createDataFrame(late, SCHEMA), 2)
+    state.compact(keep=1)
+    assert stored(state.jobs()) == stored(merge(spark.createDataFrame(first + later + late, SCHEMA)))
+    assert state.names(f"{tmp_path}/manifest") == ["batch=00000002"]
