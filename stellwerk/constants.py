@@ -7,10 +7,12 @@ TYPE_FLAGS = {"minijob": "is_minijob", "werkstudent": "is_werkstudent", "parttim
 TYPE_LABELS = {"is_minijob": "minijob", "is_werkstudent": "werkstudent", "is_parttime": "part-time", "is_fulltime": "full-time", "is_internship": "internship"}
 # Language levels by rank; answers may also be "unclear".
 LEVELS = ["none", "A1", "A2", "B1", "B2", "C1", "C2"]
+# Marks of a job, outcomes of a contact, and sources with their kind.
 STATUSES = ["new", "interested", "applied", "rejected", "deleted"]
 OUTCOMES = ["called", "emailed", "visited", "no"]
 SOURCES = {"BA": "api", "AN": "api", "AZ": "api", "KA": "scraper", "XI": "scraper", "SS": "scraper", "ID": "scraper"}
 OFF_BY_DEFAULT = ["SS", "ID"]
+# Choices of a list, sizes of pages, and limits in days, hours, minutes and times.
 POSTED_WITHIN = [3, 7, 30]
 SORTS = ["fit", "date", "distance"]
 PAGE_SIZE, CONTACTS_PAGE_SIZE, STALE_DAYS = 50, 20, 14
@@ -32,6 +34,7 @@ CITIES = {
     "Passau": (48.5667, 13.4319),
 }
 HOME = CITIES["Neuburg an der Donau"]
+# Radius of a search, and of the earth.
 RADIUS_KM, EARTH_KM = 25, 6371.0
 # Words by which an ad tells its employment type; the amounts are the monthly ceilings of minijobs.
 CEILINGS = ["450", "520", "538", "556", "603"]
@@ -43,12 +46,14 @@ TYPE_WORDS = {
     "parttime": ["teilzeit", "part-time", "part time"],
     "fulltime": ["vollzeit", "full-time", "full time"],
 }
+# What is searched for per employment type.
 SEARCH_TERMS = {"minijob": "minijob", "werkstudent": "werkstudent", "parttime": "teilzeit", "fulltime": "vollzeit", "internship": "praktikum"}
 # Words of a page that asks for an account.
 LOGIN_WORDS = ["bitte melde dich an", "bitte logge dich ein", "zum fortfahren anmelden", "log in to continue", "login to view", "please log in", "sign in to continue"]
 # Addresses that are not a business's own, and endings that are files.
 FOREIGN_MAIL = ["webdesign", "webagentur", "agentur", "hosting", "noreply", "no-reply"]
 FILE_ENDINGS = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".css", ".js"]
+# Where a site has its imprint, in the order of trying.
 IMPRINT_PATHS = ["/impressum", "/kontakt", "/impressum.html", "/contact"]
 # German function words; three different ones tell German text.
 GERMAN_WORDS = "und oder der die das den dem ein eine einen für mit nicht sind wir sie ist sich bei auf von zu im am als auch werden haben wird".split()

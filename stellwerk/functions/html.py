@@ -46,7 +46,7 @@ def login_wall(markup: Column) -> Column:
     """Whether a page asks for an account."""
     low = F.lower(markup)
     said = F.rlike(low, F.lit("|".join(map(re.escape, LOGIN_WORDS))))
-    return said | F.rlike(markup, F.lit(r"(?i)<form[^>]+action=[\"'][^\"']*login"))
+    return said | F.rlike(markup, F.lit(r"(?i)<form\b[^>]*\baction\s*=\s*[\"'][^\"'>]*login"))
 
 
 _LD = re.compile(r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)

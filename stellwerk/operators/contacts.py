@@ -56,7 +56,7 @@ def score(kind: Column, mail: Column, cuisine: Column, languages: list[str]) ->
 
 
 def reason(kind: Column, mail: Column, cuisine: Column, languages: list[str]) -> Column:
-    """Why, in one sentence."""
+    """Why, in one sentence. The sentences, which are compared as text."""
     known = _lookup(KIND_SCORES, kind)
     what = F.concat(F.lit("A "), F.replace(kind, F.lit("_"), F.lit(" ")))
     kind_text = (

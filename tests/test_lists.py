@@ -68,6 +68,22 @@ def test_list_plan_reads_little(store, spark, data):
     assert "ReadSchema: struct<job_id:string,source:string,city:string>" in plan or "company" not in plan.split("ReadSchema")[1]
 
 
+def test_filters_reach_the_scans(spark, data, tmp_path):
+    """The library's own plan over its stored list: bounds are compared at the scans, no request parses dates or JSON."""
+    from stellwerk.plans import views as V
+
+    folder = L.store(spark.read.parquet(f"{data}/jobs.parquet"), V.answers(spark, data), V.VERSION, str(tmp_path))
+    filters = L.JobFilters(sources=("BA",), posted_within=30, max_german="B1", min_fit=60)
+    jobs, answers = L.stored(spark, folder)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    found = L.matching(jobs, spark.read.parquet(f"{data}/job_status.parquet"), answers, filters, V.now())
+    plan = found._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    pushed = " ".join(x for x in plan.split("PushedFilters: ")[1:])
+    assert "GreaterThanOrEqual(published_on,2026-07-11)" in pushed and "EqualTo(source,BA)" in pushed
+    assert "GreaterThanOrEqual(german_rank,0)" in pushed and "LessThanOrEqual(german_rank,3)" in pushed and "GreaterThanOrEqual(fit_score,60.0)" in pushed
+    assert "regexp" not in plan.lower() and "get_json_object" not in plan.lower()
+
+
 def test_queue(spark, store):
     from stellwerk.functions.text import content_hash
 
