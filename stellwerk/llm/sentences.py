@@ -52,7 +52,7 @@ _EVENT = re.compile(r"(?P<stop>[.!?…。！？।॥؟۔｡]+)|(?P<smile>[:;]-?
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]")
 _LAST = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])[\w\u0300-\u036f\u0900-\u097f’°-]*(?:\.\s?[\w\u0300-\u036f-]+)*$")
 _NUMBER = re.compile(r"(?:^|(?P<lead>[^\W\d_]+\.?|[:,;(：，；、（]|\S)\s*)(?P<n>\d+)$")
-_GAP = re.compile(r"(?<!\.)\s")
+_GAP = re.compile(r"[.\s]")
 _DATE = re.compile(r"(?<![\d.])\d{1,2}\.\d{1,2}$")
 
 
@@ -286,12 +286,17 @@ def split_block(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 
 def _word_before(text: str, begin: int, dot: int) -> re.Match[str] | None:
-    """The word that ends at ``dot``: looked for in a few characters, and in more where it does not begin in them."""
+    """The word that ends at ``dot``: looked for in a few characters, and in more where one run of letters fills them.
+
+    Of words with inner full stops only the last part and that there are others matter, so that a chain of them is not
+    followed back: the work is in proportion to the text.
+    """
     size = 40
     while True:
         lo = max(begin, dot - size)
         m = _LAST.search(text, lo, dot)
-        if lo == begin or (m is not None and m.start() > lo) or (m is None and _GAP.search(text, lo, dot)):
+        whole = m is not None and (m.start() > lo or "." in m[0])
+        if lo == begin or whole or (m is None and _GAP.search(text, lo, dot)):
             return m
         size *= 4
 
