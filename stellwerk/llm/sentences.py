@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +48,9 @@ NO_CASE_STOPS = frozenset("。！？।॥۔｡")
 MARKER = re.compile(r"[ \t\u00a0\ufeff]*(?:[-–—*•→▪·✅▸►‣○●◦■□✓✔☑✗➤➔»][ \u00a0\t]+|\(?(\d{1,3})[.)][ \u00a0\t]+|[a-zA-Z]\)[ \u00a0\t]+)(?=\S)")
 BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _EVENT = re.compile(r"(?P<stop>[.!?…。！？।॥؟۔｡]+)|(?P<smile>[:;]-?[)D(]|[\U0001F300-\U0001FAFF\u263a\u2639]\ufe0f?)|(?P<thai>(?<=[\u0e01-\u0e5b])\s+(?=[\u0e01-\u0e5b]))")
+_THAI = re.compile("[\u0e01-\u0e5b]")
+#: What an event begins with where there is no Thai: one set of characters, which is found fast.
+_FIRST = re.compile("[.!?…。！？।॥؟۔｡:;\U0001F300-\U0001FAFF\u263a\u2639]")
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]")
 _LAST = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])[\w\u0300-\u036f\u0900-\u097f’°-]*(?:\.\s?[\w\u0300-\u036f-]+)*$")
 _NUMBER = re.compile(r"(?:^|(?P<lead>[^\W\d_]+\.?|[:,;(：，；、（]|\S)\s*)(?P<n>\d+)$")
@@ -163,21 +165,24 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 def _outermost(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets that are in no other, as (opener, closer)."""
     stack: list[tuple[str, int]] = []
-    awaited: Counter[str] = Counter()
+    # How many open marks each closing mark would close.
+    awaited = dict.fromkeys("".join(PAIRS.values()), 0)
     pairs: list[tuple[int, int]] = []
     for m in _MARKS.finditer(text, lo, hi):
         c, i = m[0], m.start()
-        depth = next((d for d in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[d][0]]), None) if awaited[c] else None
+        depth = next((d for d in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[d][0]]), None) if awaited.get(c) else None
         if depth is not None:
             if c == ")" and i > lo and text[i - 1] in "-:;" and stack[depth][0] == "(" and text[i - 2 : i] in (":-", ";-"):
                 continue
             pairs.append((stack[depth][1], i))
             for o, _ in stack[depth:]:
-                awaited.subtract(PAIRS[o])
+                for x in PAIRS[o]:
+                    awaited[x] -= 1
             del stack[depth:]
         elif c in PAIRS:
             stack.append((c, i))
-            awaited.update(PAIRS[c])
+            for x in PAIRS[c]:
+                awaited[x] += 1
     pairs.sort()
     out: list[tuple[int, int]] = []
     for p in pairs:
@@ -208,17 +213,29 @@ def _starts_new(text: str, i: int, hi: int) -> str:
     return "mark"
 
 
-def split_block(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """The sentences of one block."""
+def _next_event(text: str, i: int, hi: int) -> re.Match[str] | None:
+    while c := _FIRST.search(text, i, hi):
+        if m := _EVENT.match(text, c.start(), hi):
+            return m
+        i = c.end()
+    return None
+
+
+def split_block(text: str, lo: int, hi: int, thai: bool = True) -> Iterator[tuple[int, int]]:
+    """The sentences of one block; ``thai`` says whether the text may have Thai letters."""
     while lo < hi and (text[lo].isspace() or text[lo] == "\ufeff"):
         lo += 1
-    spans = _outermost(text, lo, hi)
+    event = _EVENT.search if thai else _next_event
+    spans: list[tuple[int, int]] | None = None
     k = 0
     begin = i = lo
     while True:
-        m = _EVENT.search(text, i, hi)
-        if m is None:
+        m = event(text, i, hi)
+        if m is None or m.end() == hi:
+            # Nothing follows that could be a sentence of its own.
             break
+        if spans is None:
+            spans = _outermost(text, lo, hi)
         s, e = m.span()
         while k < len(spans) and spans[k][1] < s:
             k += 1
@@ -359,8 +376,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out = []
+    thai = not text.isascii() and _THAI.search(text) is not None
     for lo, hi in blocks(text):
-        for s, e in split_block(text, lo, hi):
+        for s, e in split_block(text, lo, hi, thai):
             while s < e and text[s].isspace():
                 s += 1
             while e > s and text[e - 1].isspace():
@@ -377,14 +395,17 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at: list[int] = []
-            starts: list[int] = []
-            ends: list[int] = []
-            for k, t in enumerate(batch.column(1)):
-                for s, e in sentences(t.as_py()):
-                    at.append(k)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[name, "start_pos", "end_pos"])
+            # Few at a time: texts of any length, and their sentences, are in memory at once.
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                at: list[int] = []
+                starts: list[int] = []
+                ends: list[int] = []
+                for k, t in enumerate(part.column(1)):
+                    for s, e in sentences(t.as_py()):
+                        at.append(k)
+                        starts.append(s)
+                        ends.append(e)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[name, "start_pos", "end_pos"])
 
     return df.select(key, text).mapInArrow(run, schema)
