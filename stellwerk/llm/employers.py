@@ -15,16 +15,21 @@ and it is attached to the one of maximum posterior, which may be itself. Chains
 Lines of business: a dictionary (``TRADES``, a parameter) gives words to begin with; further ones are learned
 (:func:`learn_lines`): a word that accompanies many different names and mostly stands alone with them (a first name
 needs a line beside it). Two learned words are one line if most employers of the rarer one also use the other. An
-abbreviation is a subsequence of a line's word that keeps its beginning; if it fits several lines, each is a
-hypothesis, and the frequency of the names with that line decides.
-
-Candidates are found by a shared deletion neighbour of a name within the line of business: no pair is formed without
-one, no block is capped.
-
-Defined results: null and blank values, and values without a readable name, are linked with nothing; values of any
-length are read whole; ties between candidates go to the reading that sorts first; a reading without line of business
-joins the only employer that has its names (one slip each at most), if there is exactly one, and if what it says
-beside them are first names or initials. Extra columns are ignored, repeated rows only count as frequency.
+abbreviation is a subsequence of a line's word that keeps its beginning, a long one with a letter wrong, too; if it
+fits several lines, each is a hypothesis, and the frequency of the names with that line decides.
+
+Candidates are found by a shared deletion neighbour of a name within the line of business, folded or with the umlauts
+as anyone typed them: no pair is formed without one, no block is capped; of several names the rarest is looked up. Each
+name has one slip at most: two edits in one name are, even in long names, mostly another employer. Readings without
+line of business are compared with each other by all their words. Names written apart and abbreviations that fit
+several lines are looked up likewise, at the price of a slip.
+
+Defined results: null and blank values, and values without a readable name, are linked with nothing; a name of two
+letters counts where there is no longer one, and has to be exact; values of any length are read whole; ties between
+candidates, and between equally frequent readings, go to the reading that more others are near, then to the one that
+sorts first; a reading without line of business joins the only employer that has its names (one slip each at most), if
+there is exactly one, however many readings it has, and if what is said beside them are first names or initials; only
+if it joins none, it is linked with others without. Extra columns are ignored, repeated rows only count as frequency.
 """
 
 from __future__ import annotations
@@ -113,6 +118,8 @@ zahnarztpraxis zahnarzt
 TRADES = tuple(TRADES.strip().split("\n"))
 # Words before a name.
 BEFORE = frozenset("fa firma familienbetrieb inh inhaber inhaberin herr frau".split())
+# Words of two letters that are no names; others are if there is no longer one.
+NO_NAMES = frozenset("ab am an co da de di dr du el im in la nr of st um zu".split())
 # Words before a place.
 BRANCH = r"filiale|niederlassung|standort|zweigstelle|betriebsst\w+|zentrale|hauptsitz|nl|ndl"
 LEGAL = re.compile(
@@ -202,6 +209,15 @@ class Lines:
         pattern = re.compile(re.escape(letters[:2]) + r"\w*" + r"\w*".join(map(re.escape, letters[2:])) + r"\w*")
         return {t for w, t in self.by_word.items() if pattern.fullmatch(w)}
 
+    def meant(self, span: str) -> set[str]:
+        """The lines that an abbreviation may stand for: as above, else with one letter of it wrong, swapped or too many."""
+        if hits := self.shortened(span):
+            return hits
+        letters = span.replace(".", "")
+        if len(letters) < 7:
+            return set()
+        return {t for w, t in self.by_word.items() if w[0] == letters[0] and common(letters, w) >= len(letters) - 1}
+
     def abbreviated_slip(self, span: str) -> str | None:
         """As ``of`` for an abbreviation with one slip in it: its letters start a word, but for one edit."""
         parts = span.split(".")
@@ -214,6 +230,16 @@ class Lines:
         return hits.pop() if len(hits) == 1 else None
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest sequence of letters that both have in this order."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 @functools.lru_cache(maxsize=8)
 def lines_of(lines: tuple[str, ...]) -> Lines:
     return Lines(lines)
@@ -239,7 +265,8 @@ def _without_place(s: str, places: frozenset[str]) -> str:
 
 def read_spelling(text: str, places: frozenset[str] = frozenset(), lines: tuple[str, ...] = TRADES) -> dict[str, object]:
     """What one spelling tells: ``trade`` (line of business) and ``names``, both may be empty; ``plain``: the names
-    with umlauts as typed; ``others``: other ways to read the names; ``words``: all words but the line of business.
+    (without line of business, the words) with umlauts as typed; ``others``: other ways to read line and names, of
+    which those in ``loose`` may have slips beside; ``words``: all words but the line of business.
     """
     known = lines_of(lines)
     s = tidy(html.unescape(text))
@@ -282,7 +309,6 @@ def read_spelling(text: str, places: frozenset[str] = frozenset(), lines: tuple[
         gap = dash = False
     trade, at = "", (0, 0)
     n = len(words)
-    maybe: set[str] = set()
     for exact in (True, False):
         for size in range(min(4, n), 0, -1):
             for i in range(n - size + 1):
@@ -297,8 +323,6 @@ def read_spelling(text: str, places: frozenset[str] = frozenset(), lines: tuple[
                 if found:
                     trade, at = found, (i, i + size)
                     break
-                if dotted and size == 1:
-                    maybe |= known.shortened(span)
             if trade:
                 break
         if trade:
@@ -318,29 +342,53 @@ def read_spelling(text: str, places: frozenset[str] = frozenset(), lines: tuple[
         while hi < n and soft[hi] and len(words[hi]) <= 5:
             hi += 1
         at = (lo, hi)
-    segments: list[list[str]] = [[]]
-    joined: list[list[str]] = [[]]
-    for i, w in enumerate(words):
-        inside = at[0] <= i < at[1]
-        if inside or w == "und" or breaks[i]:
-            segments.append([])
-            if inside or w == "und" or not soft[i]:
-                joined.append([])
-        if not inside and w != "und":
-            bare = w.rstrip(".")
-            if len(bare) > 2 and (not trade or known.of(bare, False, True) != trade):
-                segments[-1].append(bare)
-                joined[-1].append(bare)
-    segments = [x for x in segments if x]
-    names = sorted({x[-1] for x in segments})
-    together = sorted({"".join(x) if len(x) == 2 else x[-1] for x in segments})
-    last = sorted({x[-1] for x in joined if x})
+    maybe: dict[tuple[int, int], set[str]] = {}
+    if not trade:
+        # An abbreviation that fits several lines, or none but with a slip: each is a hypothesis.
+        for size in range(min(4, n), 0, -1):
+            for i in range(n - size + 1):
+                span = "".join(words[i : i + size])
+                if "." in span and "und" not in words[i : i + size] and all(soft[i + 1 : i + size]) and (hits := known.meant(span)):
+                    maybe[i, i + size] = hits
+
+    def named(at: tuple[int, int], trade: str, least: int) -> tuple[list[list[str]], list[list[str]]]:
+        """Runs of words of so many letters beside the line of business, cut at breaks, and with hyphens joined."""
+        segments: list[list[str]] = [[]]
+        joined: list[list[str]] = [[]]
+        for i, w in enumerate(words):
+            inside = at[0] <= i < at[1]
+            if inside or w == "und" or breaks[i]:
+                segments.append([])
+                if inside or w == "und" or not soft[i]:
+                    joined.append([])
+            if not inside and w != "und":
+                bare = w.rstrip(".")
+                if len(bare) >= least and bare not in NO_NAMES and (not trade or known.of(bare, False, True) != trade):
+                    segments[-1].append(bare)
+                    joined[-1].append(bare)
+        segments, joined = [x for x in segments if x], [x for x in joined if x]
+        return (segments, joined) if segments or least == 2 else named(at, trade, 2)
+
+    def ways(segments: list[list[str]], joined: list[list[str]]) -> list[list[str]]:
+        """The names as read, with two words beside each other as one, and the last of each run with hyphens."""
+        together = {"".join(x) if len(x) == 2 else x[-1] for x in segments}
+        return [sorted({x[-1] for x in segments}), sorted(together), sorted({x[-1] for x in joined})]
+
+    segments, joined = named(at, trade, 3)
+    names, together, last = ways(segments, joined)
+    beside = sorted({w for x in segments for w in x})
+    key = lambda t, x: t + "|" + "&".join(x)
+    loose = {key(trade, together)} if together != names else set()
+    for span, hits in maybe.items():
+        for t in hits:
+            loose |= {key(t, x) for x in ways(*named(span, t, 3))[:2] if x}
     return {
         "trade": trade,
         "names": names,
-        "plain": sorted(typed.get(x, x) for x in names),
-        "others": sorted({trade + "|" + "&".join(x) for x in (together, last) if x != names} | ({t + "|" + "&".join(names) for t in maybe} if not trade else set())),
-        "words": sorted({w for x in segments for w in x}),
+        "plain": sorted(typed.get(x, x) for x in (names if trade else beside)),
+        "others": sorted(loose | ({key(trade, last)} if last != names else set())),
+        "loose": sorted(loose),
+        "words": beside,
     }
 
 
@@ -374,14 +422,19 @@ def assign(cost: list[list[int]]) -> int:
     return sum(cost[row_of[k] - 1][k - 1] for k in range(1, n + 1))
 
 
-def edits(a: tuple[str, ...], b: tuple[str, ...], most: int = 1) -> int:
-    """Slips between two name lists of one length in the best order, each name within ``most``; else a large number."""
+def slip(a: str, b: str) -> int:
+    """0 for one name, 1 for names one slip apart, else 2; a name of two letters has to be exact."""
+    return 0 if a == b else distance(a, b, 1) if min(len(a), len(b)) > 2 else 2
+
+
+def edits(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """Slips between two name lists of one length in the best order, at most one in each name; else a large number."""
     if len(a) != len(b):
         return 99
     if a == b:
         return 0
     far = 99 * len(a)
-    cost = [[d if (d := distance(x, y, most)) <= most else far for y in b] for x in a]
+    cost = [[d if (d := slip(x, y)) <= 1 else far for y in b] for x in a]
     return min(cost[0][0] if len(a) == 1 else assign(cost), 99)
 
 
@@ -390,7 +443,8 @@ def neighbours(names: tuple[str, ...]) -> set[str]:
     out = set()
     for x in names:
         out.add(x)
-        out.update(x[:i] + x[i + 1 :] for i in range(len(x)))
+        if len(x) > 2:
+            out.update(x[:i] + x[i + 1 :] for i in range(len(x)))
     return out
 
 
@@ -445,14 +499,14 @@ def link_employers(companies: DataFrame, places: list[str] | None = None, column
     ship(companies.sparkSession)
     towns = frozenset(fold(p) for p in places or [])
     texts = T.ArrayType(T.StringType())
-    reading = T.StructType([T.StructField("trade", T.StringType())] + [T.StructField(k, texts) for k in ("names", "plain", "others", "words")])
+    reading = T.StructType([T.StructField("trade", T.StringType())] + [T.StructField(k, texts) for k in ("names", "plain", "others", "loose", "words")])
 
     # The functions are marked nondeterministic where a filter follows: else they would run once more for the filter.
     def reader(known: tuple[str, ...]):  # noqa: ANN202
         @F.arrow_udf(reading)
         def read(company: pa.Array) -> pa.Array:
             got = [read_spelling(x or "", towns, known) for x in company.to_pylist()]
-            return pa.array(got, pa.struct([("trade", pa.string())] + [(k, pa.list_(pa.string())) for k in ("names", "plain", "others", "words")]))
+            return pa.array(got, pa.struct([("trade", pa.string())] + [(k, pa.list_(pa.string())) for k in ("names", "plain", "others", "loose", "words")]))
 
         return read.asNondeterministic()
 
@@ -469,7 +523,7 @@ def link_employers(companies: DataFrame, places: list[str] | None = None, column
         """Slips by which all names are among the words, or a large number."""
         out = []
         for x, y in zip(names.to_pylist(), words.to_pylist(), strict=True):
-            best = [min(distance(a, b, 1) for b in y) for a in x]
+            best = [min(slip(a, b) for b in y) for a in x]
             out.append(sum(best) if max(best) <= 1 else 99)
         return pa.array(out, pa.int32())
 
@@ -477,7 +531,7 @@ def link_employers(companies: DataFrame, places: list[str] | None = None, column
     def beside(names: pa.Array, words: pa.Array) -> pa.Array:
         """The words that are none of the names, not even with a slip."""
         pairs = zip(names.to_pylist(), words.to_pylist(), strict=True)
-        return pa.array([[b for b in y if len(b) > 2 and all(distance(a, b, 1) > 1 for a in x)] for x, y in pairs], pa.list_(pa.string()))
+        return pa.array([[b for b in y if len(b) > 2 and all(slip(a, b) > 1 for a in x)] for x, y in pairs], pa.list_(pa.string()))
 
     distinct = companies.filter(F.length(F.trim(column)) > 0).groupBy(F.col(column).alias("company")).agg(F.count("*").alias("n_rows"))
     first = cut(distinct.withColumn("r", reader(tuple(lines))("company")).select("company", "n_rows", "r.*").filter(F.size("names") > 0))
@@ -486,66 +540,100 @@ def link_employers(companies: DataFrame, places: list[str] | None = None, column
         again = first.filter("trade = ''").select("company", "n_rows").withColumn("r", reader((*lines, *learned))("company")).select("company", "n_rows", "r.*").filter(F.size("names") > 0)
         first = first.filter("trade != ''").unionByName(again)
     spellings = cut(first.withColumn("key", F.when(F.col("trade") == "", F.concat(F.lit("|"), F.array_join("words", "&"))).otherwise(F.concat_ws("|", "trade", F.array_join("names", "&")))))
-    keys = spellings.groupBy("key").agg(
-        F.any_value("trade").alias("trade"), F.any_value("names").alias("names"), F.min("plain").alias("plain"), F.any_value("words").alias("words"), F.sum("n_rows").alias("n_rows"),
+    keys = spellings.groupBy("key").agg(F.any_value("trade").alias("trade"), F.any_value("names").alias("names"), F.any_value("words").alias("words"), F.sum("n_rows").alias("n_rows"))
+    keys = cut(keys.select("key", "trade", (F.col("trade") == "").alias("unknown"), F.log("n_rows").alias("prior"), F.when(F.col("trade") == "", F.col("words")).otherwise(F.col("names")).alias("form")))
+    # What is compared are a reading's names (without line of business, its words), folded and in each way that their
+    # umlauts were typed; and, with its line, each other way to read them.
+    typed = spellings.select("key", F.col("plain").alias("form")).distinct().join(keys.select("key", "trade", "unknown", "prior"), "key")
+    forms = keys.unionByName(typed).distinct().withColumn("other", F.lit(False))
+    others = (
+        spellings.select("key", F.explode("loose").alias("other")).distinct().join(keys.select("key", "unknown", "prior"), "key")
+        .select("key", F.substring_index("other", "|", 1).alias("trade"), "unknown", "prior", F.split(F.substring_index("other", "|", -1), "&").alias("form"), F.lit(True).alias("other"))
     )
-    keys = cut(keys.withColumn("prior", F.log("n_rows")))
-    blocks = keys.filter("trade != ''").select(
-        "key", "trade", "names", "prior", F.size("names").alias("n_names"), "plain", F.explode(near_names(F.array_distinct(F.concat("names", "plain")))).alias("near"),
+    tokens = forms.unionByName(others).withColumn("name", F.explode("form")).withColumn("n_names", F.size("form")).withColumn("near", F.explode(near_names(F.array("name"))))
+    # Of several names each has to meet, so the rarest of a reading is enough to find all: a common one forms no pairs.
+    block = ["trade", "n_names", "near"]
+    several = tokens.filter("n_names > 1")
+    seldom = (
+        several.join(several.filter(~F.col("other")).groupBy(*block).agg(F.count("*").alias("n")), block)
+        .groupBy("key", "trade", "form", "name").agg(F.sum("n").alias("n")).groupBy("key", "trade", "form").agg(F.min_by("name", F.struct("n", "name")).alias("name"))
     )
-    a, b = blocks.alias("a"), blocks.alias("b")
+    a = tokens.filter("n_names = 1").unionByName(several.join(seldom, ["key", "trade", "form", "name"])).alias("a")
+    b = tokens.filter(~F.col("other")).alias("b")
     before = (F.col("b.prior") > F.col("a.prior")) | ((F.col("b.prior") == F.col("a.prior")) & (F.col("b.key") < F.col("a.key")))
     met = (F.col("a.trade") == F.col("b.trade")) & (F.col("a.near") == F.col("b.near")) & (F.col("a.n_names") == F.col("b.n_names")) & (F.col("a.key") != F.col("b.key"))
-    pick = [F.col("a.key").alias("key"), F.col("b.key").alias("candidate"), F.col("a.prior").alias("mine"), F.col("b.prior").alias("prior")]
-    pick += [F.col(f"{t}.{c}").alias(n) for t, c, n in (("a", "names", "names"), ("b", "names", "meant"), ("a", "plain", "plain"), ("b", "plain", "meant_plain"))]
-    candidates = (
-        a.join(b, met & before).select(*pick).dropDuplicates(["key", "candidate"])
-        .withColumn("slips", F.least(slips.asNondeterministic()("names", "meant"), slips.asNondeterministic()("plain", "meant_plain")))
-        .filter((F.col("slips") <= F.size("names")) & ((F.col("slips") == 0) | (F.col("prior") + F.col("slips") * (SLIP - COLLISION) > 2 * F.col("mine"))))
-        .select("key", "candidate", (F.col("prior") + F.col("slips") * SLIP).alias("posterior"))
+    pick = [F.col(f"{t}.{c}").alias(n) for t, c, n in (("a", "key", "key"), ("b", "key", "candidate"), ("a", "other", "other"), ("a", "form", "names"), ("b", "form", "meant"), ("a", "prior", "mine"), ("b", "prior", "prior"))]
+    pick.append((F.col("a.unknown") & ~F.col("b.unknown")).alias("up"))
+    pairs = (
+        a.join(b, met & (F.col("a.other") | before)).select(*pick).dropDuplicates(["key", "candidate", "other", "names", "meant"])
+        .withColumn("slips", slips.asNondeterministic()("names", "meant")).filter(F.col("slips") <= F.size("names"))
+        .groupBy("key", "candidate", "other").agg(F.min("slips").alias("slips"), F.any_value("mine").alias("mine"), F.any_value("prior").alias("prior"), F.any_value("up").alias("up"))
+        # Two readings are a slip apart at least, also where folding has taken it away.
+        .withColumn("slips", F.when(F.col("other"), F.col("slips")).otherwise(F.greatest("slips", F.lit(1))))
+        .filter((F.col("slips") == 0) | (F.when(F.col("up"), F.col("prior")).otherwise(F.greatest("prior", "mine")) + F.col("slips") * (SLIP - COLLISION) > 2 * F.when(F.col("up"), F.col("mine")).otherwise(F.least("prior", "mine"))))
     )
-    # Other ways to read a spelling: names written apart ("Rohn Kraft"), abbreviations that fit several lines. All links
-    # go from unknown to known lines, then to the more frequent reading, then to the one that sorts first: no circles.
-    known = keys.filter("trade != ''")
-    ways = (
-        spellings.select("key", F.explode("others").alias("candidate")).distinct().filter("candidate != key")
-        .join(known.select(F.col("key").alias("candidate"), "prior"), "candidate")
-        .join(keys.select("key", F.col("prior").alias("mine"), (F.col("trade") == "").alias("unknown")), "key")
+    pairs = cut(pairs.select("key", "candidate", "other", (F.col("slips") * SLIP + F.when(F.col("other"), SLIP).otherwise(0.0)).alias("cost")))
+    # Other ways that have to be exact.
+    exact = (
+        spellings.filter("trade != ''").select("key", F.explode("others").alias("candidate")).distinct().filter("candidate != key")
+        .join(keys.select(F.col("key").alias("candidate")), "candidate").select("key", "candidate", F.lit(SLIP).alias("cost"))
     )
-    up = F.col("unknown") | (F.col("prior") > F.col("mine")) | ((F.col("prior") == F.col("mine")) & (F.col("candidate") < F.col("key")))
-    apart = ways.select(
-        F.when(up, F.col("key")).otherwise(F.col("candidate")).alias("key"), F.when(up, F.col("candidate")).otherwise(F.col("key")).alias("candidate"), (F.greatest("prior", "mine") + SLIP).alias("posterior"),
+    # All links go from unknown to known lines, then to the more frequent reading, then to the one that more others are
+    # near, then to the one that sorts first: no circles.
+    met_by = pairs.filter(~F.col("other")).select(F.explode(F.array("key", "candidate")).alias("key")).groupBy("key").agg(F.count("*").alias("near"))
+    rank = cut(keys.select("key", "unknown", "prior").join(met_by, "key", "left").select("key", F.struct("unknown", (-F.col("prior")).alias("prior"), (-F.coalesce("near", F.lit(0))).alias("near"), "key").alias("rank")))
+    ways = (
+        pairs.select("key", "candidate", "cost").unionByName(exact)
+        .join(rank.withColumnRenamed("rank", "x"), "key").join(rank.select(F.col("key").alias("candidate"), F.col("rank").alias("y")), "candidate")
+        .select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "cost")
+        .select(F.col("x.key").alias("key"), F.col("x.unknown").alias("unknown"), F.struct(F.col("y.unknown"), (F.col("y.prior") - F.col("cost")).alias("posterior"), F.col("y.near"), F.col("y.key")).alias("parent"))
+        .groupBy("key", "unknown").agg(F.min("parent").alias("parent"))
     )
+    ways = cut(ways)
+
+    def ends(links: DataFrame) -> DataFrame:
+        """Each key's link followed to its end."""
+        while True:
+            up = links.select(F.col("key").alias("parent"), F.col("parent").alias("grand"))
+            jumped = cut(links.join(up, "parent").select("key", "parent", "grand"))
+            moved = not jumped.filter("parent != grand").isEmpty()
+            links = jumped.select("key", F.col("grand").alias("parent"))
+            if not moved:
+                return links
+
+    parents = ways.filter(~F.col("unknown")).select("key", F.col("parent.key").alias("parent"))
+    links = ends(cut(keys.filter("trade != ''").select("key").join(parents, "key", "left").select("key", F.coalesce("parent", "key").alias("parent"))))
+    untold = forms.filter("unknown").select("key", F.col("form").alias("words"))
+    if untold.isEmpty():
+        return spellings.join(links, "key").select("company", F.col("parent").alias("employer"), "n_rows")
     # Spellings whose line was not read: where one employer has these names, and what is left are first names, which
     # are the words that spellings of known lines have beside two different names or more.
     first_names = (
         spellings.filter("trade != ''").select("key", F.explode(F.array_except("words", "names")).alias("word")).distinct()
         .groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2").select("word")
     )
-    untold = keys.filter("trade = ''").select("key", "words")
     near_words = untold.select("key", "words", F.explode(near_names(F.col("words"))).alias("near"))
-    meant = known.select(F.col("key").alias("candidate"), F.col("names").alias("meant"), "prior", F.explode(near_names(F.slice("names", 1, 1))).alias("near"))
+    meant = forms.filter(~F.col("unknown")).select(F.col("key").alias("candidate"), F.col("form").alias("meant"), "prior", F.explode(near_names(F.slice("form", 1, 1))).alias("near"))
     fits = cut(
-        near_words.join(meant, "near").drop("near").dropDuplicates(["key", "candidate"])
+        near_words.join(meant, "near").drop("near").dropDuplicates(["key", "candidate", "words", "meant"])
         .withColumn("slips", within.asNondeterministic()("meant", "words")).filter("slips < 99")
-        .withColumn("left", beside("meant", "words")).drop("words", "meant").withColumn("size", F.size(F.split("candidate", "&")))
+        .withColumn("left", beside("meant", "words")).withColumn("size", F.size("meant"))
+        .groupBy("key", "candidate", "size", "prior").agg(F.min("slips").alias("slips"), F.min_by("left", F.struct("slips", "left")).alias("left"))
     )
     strange = fits.select("key", "candidate", F.explode("left").alias("word")).join(first_names, "word", "left_anti").select("key", "candidate").distinct()
-    by_size = fits.join(strange, ["key", "candidate"], "left_anti").groupBy("key", (F.col("size") * 100 - F.col("slips")).alias("fit")).agg(F.max(F.struct("prior", "slips", "candidate")).alias("c"), F.count("*").alias("n"))
+    # Readings that are linked are one employer.
+    by_size = (
+        fits.join(strange, ["key", "candidate"], "left_anti").join(links.withColumnRenamed("key", "candidate"), "candidate")
+        .groupBy("key", (F.col("size") * 100 - F.col("slips")).alias("fit"))
+        .agg(F.max(F.struct("prior", "slips", "candidate")).alias("c"), (F.min("parent") == F.max("parent")).alias("one"))
+    )
     joined = (
-        by_size.groupBy("key").agg(F.max_by(F.struct("c", "n"), "fit").alias("b")).filter("b.n = 1")
-        .select("key", F.col("b.c.candidate").alias("candidate"), (F.col("b.c.prior") + SLIP).alias("posterior"))
+        by_size.groupBy("key").agg(F.max_by(F.struct("c", "one"), "fit").alias("b")).filter("b.one")
+        .select("key", F.struct(F.lit(False).alias("unknown"), (-F.col("b.c.prior") - SLIP).alias("posterior"), F.lit(0).cast("long").alias("near"), F.col("b.c.candidate").alias("key")).alias("parent"))
     )
-    best = candidates.unionByName(apart).unionByName(joined).groupBy("key").agg(F.max_by("candidate", F.struct("posterior", "candidate")).alias("parent"))
-    links = cut(keys.select("key").join(best, "key", "left").select("key", F.coalesce("parent", "key").alias("parent")))
-    while True:
-        up = links.select(F.col("key").alias("parent"), F.col("parent").alias("grand"))
-        jumped = cut(links.join(up, "parent").select("key", "parent", "grand"))
-        moved = not jumped.filter("parent != grand").isEmpty()
-        links = jumped.select("key", F.col("grand").alias("parent"))
-        if not moved:
-            break
-    return spellings.join(links, "key").select("company", F.col("parent").alias("employer"), "n_rows")
+    best = ways.filter("unknown").select("key", "parent").unionByName(joined).groupBy("key").agg(F.min("parent").alias("parent"))
+    told = links.unionByName(keys.filter("unknown").select("key").join(best, "key", "left").select("key", F.coalesce("parent.key", "key").alias("parent")))
+    return spellings.join(ends(cut(told)), "key").select("company", F.col("parent").alias("employer"), "n_rows")
 
 
 def employer_pairs(linked: DataFrame) -> DataFrame:

@@ -124,6 +124,39 @@ def test_names_of_any_number_and_length(spark):
     assert len(long) > 60 and _pairs(spark, {a: 5, b: 1, x: 2, y: 1}) == {tuple(sorted((a, b))), tuple(sorted((x, y)))}
 
 
+LEFT_OUT = [
+    # An abbreviation after the name, of several parts, and with a slip.
+    {"Pflegedienst Quast GmbH": 3, "Quast, Pflegd. GmbH": 1, "Quast Pflegde.": 1},
+    {"Maschinenbau Friedrich Lorenz": 3, "Mach.-Bau Friedrich Lorenz AG": 1, "Mssch.-Bau Lorenz": 1},
+    # Equally frequent: the one between is meant, whichever sorts first.
+    {"Üllmorode Autohaus GmbH": 2, "Üllmordoe Auto-Haus GmbH": 2, "Üllmoride Kfz-Handel": 2},
+    # A slip in the umlaut as most typed it, beside another way to type it.
+    {"Bäckerei Bäuerle": 10, "Bäckerei Baeuerle": 3, "Bäckerei Bäierle": 1},
+    # No line of business at all, or one that is not known.
+    {"Siemoras AG": 10, "Siemroas": 1, "SIEM ORAS AG": 1}, {"Bestattungen Huber": 5, "Bestattugen Huber": 1},
+    # Two readings that fit are one employer.
+    {"Metzgerei Traxl": 100, "Metzgerei Troxl": 1, "Truxl GmbH": 1},
+    # Names of two letters.
+    {"BP Tankstelle": 3, "Tankstelle BP GmbH": 1}, {"Tankstelle BB": 1},
+    # A slip in a name that is written apart, or beside an abbreviation that fits several lines.
+    {"Rohnkraft Personalservice": 5, "Rhon Kraft Personalservice": 1}, {"Pflegeheim Birnstiel": 3, "Pfleg. Birnsteil": 1},
+    # Two edits in one name are another employer, and so is a frequent one.
+    {"Autohaus Östdergraf": 14}, {"Autohaus Östversgraf": 5}, {"Zirngibl AG": 1000}, {"Zirngobl AG": 999},
+]
+
+
+def test_no_link_is_left_out(spark):
+    got = _pairs(spark, {c: n for group in LEFT_OUT for c, n in group.items()})
+    assert got == {tuple(sorted(p)) for group in LEFT_OUT for p in itertools.combinations(group, 2)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
+def test_common(a, b):
+    found = {"".join(x) for k in range(len(a) + 1) for x in itertools.combinations(a, k)} & {"".join(x) for k in range(len(b) + 1) for x in itertools.combinations(b, k)}
+    assert employers.common(a, b) == max(map(len, found))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.integers(0, 9), min_size=n, max_size=n), min_size=n, max_size=n)))
 def test_assign(cost):
